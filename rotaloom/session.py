@@ -37,3 +37,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="rotaloom-"))
     return df.checkpoint()
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """``spark`` with this package on the path of its Python workers (they may start elsewhere)."""
+    from pathlib import Path
+
+    home = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
+    if home not in paths:
+        environment["PYTHONPATH"] = ":".join([home, *paths])
+    return spark

@@ -14,5 +14,8 @@ def spark():
 
     session = build_session("local[4]", app="tests", shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    from rotaloom.session import reachable
+
+    reachable(session)
     yield session
     session.stop()
