@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 
 from rotaloom.functions.timeofday import squeeze
 from rotaloom.llm.labels import map_labels
+from rotaloom.llm.names import name_links
 from rotaloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings of one customer within a user's shifts."""
+    names = table(spark, sf_dir, "canonical_shift").select(F.col("user_id").alias("scope"), F.col("customer_name").alias("name"))
+    return name_links(names).withColumnRenamed("scope", "user_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label-list entry of each shift's raw label."""
     shifts = table(spark, sf_dir, "canonical_shift").select("shift_id", F.col("raw_type_label").alias("value")).where(squeeze(F.col("value")) != "")
@@ -18,5 +25,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shifts.distinct().join(mapped, "value").select("shift_id", "label_id").distinct()
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
 ORACLE: dict[str, str] = {}
