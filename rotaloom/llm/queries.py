@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rotaloom.functions.timeofday import squeeze
 from rotaloom.llm.labels import map_labels
 from rotaloom.llm.names import name_links
+from rotaloom.llm.places import place_links
 from rotaloom.sources.tables import table
 
 
@@ -25,5 +26,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shifts.distinct().join(mapped, "value").select("shift_id", "label_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entries at one place, judged by the entry and the shift read from it."""
+    entries = table(spark, sf_dir, "entry").select("entry_id", "address", "location")
+    shifts = table(spark, sf_dir, "canonical_shift").where("entry_id is not null").select("entry_id", "street", "street_number", "postal_code", "postal_area", "city")
+    return place_links(entries.join(shifts, "entry_id", "left"))
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
