@@ -9,6 +9,7 @@ from rotaloom.functions.timeofday import squeeze
 from rotaloom.llm.labels import map_labels
 from rotaloom.llm.names import name_links
 from rotaloom.llm.places import place_links
+from rotaloom.llm.survivors import survivors
 from rotaloom.sources.tables import table
 
 
@@ -18,6 +19,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_links(names).withColumnRenamed("scope", "user_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record that gives each field of a duplicate group."""
+    fields = ["customer_name", "street", "street_number", "postal_code", "city", "raw_type_label"]
+    records = table(spark, sf_dir, "aggregated_shift").select(F.col("dup_group").alias("group_id"), F.col("agg_id").alias("record_id"), F.col("source_count").alias("trust"), F.col("aggregated_at").alias("at"), *fields, "notes")
+    return survivors(records, fields, ["notes"]).select(F.col("group_id").alias("dup_group"), "field_name", F.col("record_id").alias("agg_id"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label-list entry of each shift's raw label."""
     shifts = table(spark, sf_dir, "canonical_shift").select("shift_id", F.col("raw_type_label").alias("value")).where(squeeze(F.col("value")) != "")
@@ -33,5 +41,5 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_links(entries.join(shifts, "entry_id", "left"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
