@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rotaloom.functions.timeofday import squeeze
 from rotaloom.llm.labels import map_labels
+from rotaloom.llm.leakage import leaked_items
 from rotaloom.llm.names import name_links
 from rotaloom.llm.places import place_links
 from rotaloom.llm.survivors import survivors
@@ -41,5 +42,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_links(entries.join(shifts, "entry_id", "left"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation items that stand, whole or in part, in documents."""
+    return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLE: dict[str, str] = {}
