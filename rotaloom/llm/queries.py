@@ -9,6 +9,7 @@ from rotaloom.functions.timeofday import squeeze
 from rotaloom.llm.labels import map_labels
 from rotaloom.llm.leakage import leaked_items
 from rotaloom.llm.names import name_links
+from rotaloom.llm.personal import find_personal
 from rotaloom.llm.places import place_links
 from rotaloom.llm.survivors import survivors
 from rotaloom.sources.tables import table
@@ -47,5 +48,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal information in documents."""
+    return find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "kind", "value").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
