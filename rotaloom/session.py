@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,16 +28,41 @@ def build_session(master: str = "local[*]", app: str = "rotaloom", shuffle_parti
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder.
+    """``df`` written as a compressed table in the shared folder and read again.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests on one
-    machine) a temporary folder is used.
+    machine) a temporary folder is used. The table outlives executors; ``drop_table`` deletes one that
+    is no longer read, ``clear_work`` all of the session.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="rotaloom-"))
-    return df.checkpoint()
+    path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _work_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        base = tempfile.gettempdir()
+    return f"{base.rstrip('/')}/rotaloom-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of a table made by ``cut_lineage``."""
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Deletes all tables that ``cut_lineage`` made in this session."""
+    _delete(spark, _work_folder(spark))
 
 
 def reachable(spark: SparkSession) -> SparkSession:
