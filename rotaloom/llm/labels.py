@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rotaloom.llm.setsim import best_match, grams, similarity_join
 from rotaloom.llm.spelling import typos, unaccented, unread
+from rotaloom.session import cut_lineage
 
 #: Other words for the entries of the label list (an entry's own words in another order, or in English).
 ALIASES = {
@@ -135,7 +136,8 @@ def map_labels(values: DataFrame, entries: DataFrame, aliases: dict[str, list[st
     candidates — and each candidate is verified by edit distance or as an abbreviation. Values are
     counted out before the join, so a hot value costs one row.
     """
-    values = values.where(F.col("value").isNotNull()).select("value").distinct().withColumn("form", _plain("value"))
+    values = values.where(F.col("value").isNotNull()).select("value").distinct().select("value", _plain.asNondeterministic()("value").alias("form"))
+    values = cut_lineage(values)  # one row for each spelling; read several times below
     letters = lambda c: F.regexp_replace(c, r"[. ]", "")
     forms = values.select("form").distinct().select(F.col("form").alias("id"), grams(letters("form")).alias("tokens"))
     spark = entries.sparkSession
