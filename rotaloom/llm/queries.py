@@ -9,6 +9,7 @@ from rotaloom.functions.timeofday import squeeze
 from rotaloom.llm.labels import map_labels
 from rotaloom.llm.leakage import leaked_items
 from rotaloom.llm.names import name_links
+from rotaloom.llm.packing import pack, token_counts
 from rotaloom.llm.personal import find_personal
 from rotaloom.llm.places import place_links
 from rotaloom.llm.survivors import survivors
@@ -43,6 +44,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place_links(entries.join(shifts, "entry_id", "left"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens; container numbers are one of many good solutions."""
+    items = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("doc_id", "item_id")
+    return pack(items).withColumnRenamed("item_id", "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation items that stand, whole or in part, in documents."""
     return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
@@ -53,5 +60,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "kind", "value").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {}
