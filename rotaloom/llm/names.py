@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rotaloom.llm.setsim import grams, similarity_join
 from rotaloom.llm.spelling import typos, unaccented, unread
+from rotaloom.session import cut_lineage
 
 #: Forms of companies, and forms of address, which don't tell customers apart.
 LEGAL = {"ab", "hb", "kb", "ek", "publ", "aktiebolag", "aktiebolaget", "handelsbolag", "kommanditbolag", "inc", "ltd", "gmbh"}
@@ -144,31 +145,33 @@ def name_links(names: DataFrame, threshold: float = 0.3) -> DataFrame:
     shared words weigh enough and all names that contain it in that scope agree in their further word's
     initial; otherwise it could be either, and isn't linked.
     """
-    base = names.where(F.col("scope").isNotNull() & F.col("name").isNotNull()).select("scope", "name").distinct().withColumn("_tk", _tokens("name"))
-    base = base.where(F.size("_tk") > 0).withColumn("_id", F.xxhash64("name"))
+    spelled = names.where(F.col("scope").isNotNull() & F.col("name").isNotNull()).select("scope", "name").distinct()
+    base = cut_lineage(spelled.select("scope", "name", F.xxhash64("name").alias("_id"), _tokens("name").alias("_tk")).where(F.size("_tk") > 0))
     each = base.select("scope", "_id", F.posexplode("_tk").alias("_at", "_t"))
-    count = each.groupBy("_t").agg(F.count_distinct("scope", "_id").alias("_n"))
-    total = base.agg(F.count("*").alias("_all"))
-    weight = F.when(F.col("_t") == "=", 0.0).otherwise(F.log(1 + F.col("_all") / F.col("_n")))
-    weighted = each.join(count, "_t").join(F.broadcast(total)).withColumn("_w", weight)  # total is one row
+    count = each.groupBy("_t").agg(F.count("*").alias("_n"))
+    total = base.count()
+    weight = F.when(F.col("_t") == "=", 0.0).otherwise(F.log(1 + total / F.col("_n")))
+    weighted = each.join(count, "_t").withColumn("_w", weight)
     listed = F.array_sort(F.collect_list(F.struct("_at", "_t", "_w")))
     known = weighted.groupBy("scope", "_id").agg(listed.alias("_l")).select("scope", "_id", F.transform("_l", lambda x: x["_t"]).alias("_tk"), F.transform("_l", lambda x: x["_w"]).alias("_wt"))
+    known = cut_lineage(known)
 
     rare = F.slice(F.reverse(F.array_sort(F.filter(F.arrays_zip(F.col("_wt").alias("w"), F.col("_tk").alias("t")), lambda x: F.length(x["t"]) > 1))), 1, 2)
     together = F.regexp_replace(F.array_join("_tk", ""), "[=.]", "")
     signs = F.array_union(F.transform(rare, lambda x: F.regexp_replace(x["t"], "[.]", "")), F.array(together))
     signed = known.select("scope", "_id", F.explode(signs).alias("_s"))
-    words = signed.select("scope", F.col("_s").alias("id")).distinct().withColumn("tokens", grams(F.col("id")))
-    similar = similarity_join(words, words, ["scope"], threshold).where("left_id <= right_id")
-    prefixed = _abbreviated(words)
-    similar = similar.select("scope", "left_id", "right_id").unionByName(prefixed).distinct()
+    words = cut_lineage(signed.select("scope", F.col("_s").alias("id")).distinct().withColumn("tokens", grams(F.col("id"))))
+    similar = similarity_join(words, None, ["scope"], threshold).select("scope", "left_id", "right_id")
+    same = words.select("scope", F.col("id").alias("left_id"), F.col("id").alias("right_id"))
+    similar = similar.unionByName(same).unionByName(_abbreviated(words))
     a = signed.select("scope", F.col("_s").alias("left_id"), F.col("_id").alias("_x"))
     b = signed.select("scope", F.col("_s").alias("right_id"), F.col("_id").alias("_y"))
     ids = similar.join(a, ["scope", "left_id"]).join(b, ["scope", "right_id"]).where("_x != _y")
     ids = ids.select("scope", F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
     left = known.select("scope", F.col("_id").alias("_x"), F.col("_tk").alias("_ta"), F.col("_wt").alias("_wa"))
     right = known.select("scope", F.col("_id").alias("_y"), F.col("_tk").alias("_tb"), F.col("_wt").alias("_wb"))
-    judged = ids.join(left, ["scope", "_x"]).join(right, ["scope", "_y"]).withColumn("_c", _compare("_ta", "_wa", "_tb", "_wb")).where("_c.kind != ''").select("scope", "_x", "_y", "_c.*")
+    compared = ids.join(left, ["scope", "_x"]).join(right, ["scope", "_y"]).select("scope", "_x", "_y", _compare("_ta", "_wa", "_tb", "_wb").alias("_c"))
+    judged = cut_lineage(compared.select("scope", "_x", "_y", "_c.*").where("kind != ''"))
 
     part = judged.where("kind in ('a_in_b', 'b_in_a')").select("scope", F.when(F.col("kind") == "a_in_b", F.col("_x")).otherwise(F.col("_y")).alias("_part"), F.when(F.col("kind") == "a_in_b", F.col("_y")).otherwise(F.col("_x")).alias("_whole"), F.concat("more_a", "more_b").alias("_more"))
     by = Window.partitionBy("scope", "_part")
@@ -187,4 +190,4 @@ def _abbreviated(words: DataFrame) -> DataFrame:
     head = words.where(F.length("id") >= 3).select("scope", F.substring("id", 1, 3).alias("_h"), "id")
     short = head.where(F.length("id") <= 9)
     pairs = short.withColumnRenamed("id", "left_id").join(head.withColumnRenamed("id", "right_id"), ["scope", "_h"])
-    return pairs.where(F.col("right_id").startswith(F.col("left_id"))).select("scope", F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
+    return pairs.where((F.col("right_id") != F.col("left_id")) & F.col("right_id").startswith(F.col("left_id"))).select("scope", F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rotaloom.llm.components import components
 from rotaloom.llm.spelling import osa, unaccented, unread
+from rotaloom.session import cut_lineage
 
 #: Kinds of street, and how each is shortened.
 STREET_KINDS = {
@@ -130,7 +131,7 @@ def place_links(entries: DataFrame, hot: int = 1000) -> DataFrame:
     fields = ["address", "location", "street", "street_number", "postal_code", "postal_area", "city"]
     rows = entries.where(F.col("entry_id").isNotNull()).select("entry_id", *fields).dropDuplicates(["entry_id"])
     parsed = rows.select("entry_id", _place(*fields).alias("_p")).select("entry_id", "_p.*").where((F.col("number") != "") & (F.size("streets") > 0) & (F.size("at") > 0))
-    parsed = parsed.withColumn("variant", F.xxhash64("streets", "number", "at"))
+    parsed = cut_lineage(parsed.withColumn("variant", F.xxhash64("streets", "number", "at")))
     variants = parsed.dropDuplicates(["variant"]).select("variant", "number", F.explode("streets").alias("_s"), "at")
     stem, kind = F.split_part("_s", F.lit("|"), F.lit(1)), F.split_part("_s", F.lit("|"), F.lit(2))
     cut = F.array_union(F.array("_stem"), F.transform(F.sequence(F.lit(1), F.greatest(F.length("_stem"), F.lit(1))), lambda i: F.concat(F.substring("_stem", F.lit(1), i - 1), F.substring("_stem", i + 1, F.lit(200)))))

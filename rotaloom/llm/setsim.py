@@ -13,33 +13,35 @@ def grams(text: Column, q: int = 2) -> Column:
     return F.when(F.length(text) > 0, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
 
 
-def _ranked(sets: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
-    """Each set's tokens in order of global rarity (``_g``), exploded to its prefix later."""
-    each = sets.select(*keys, F.explode("_set").alias("_t")).join(counts, "_t")
-    ordered = F.array_sort(F.collect_list(F.struct("_n", "_t")))
-    return each.groupBy(*keys).agg(F.transform(ordered, lambda x: x["_t"]).alias("_g"))
-
-
-def similarity_join(left: DataFrame, right: DataFrame, on: list[str], threshold: float) -> DataFrame:
+def similarity_join(left: DataFrame, right: DataFrame | None, on: list[str], threshold: float) -> DataFrame:
     """Pairs of sets of the same ``on`` values with Jaccard similarity of at least ``threshold``.
 
-    ``left`` and ``right``: ``on`` columns, ``id``, ``tokens`` (array of string, distinct). Result: the
-    ``on`` columns, ``left_id``, ``right_id``, ``jaccard``. Empty or null sets and null tokens match
-    nothing. Ids must be unique within ``on``; repeated rows are dropped first.
+    ``left`` and ``right``: ``on`` columns, ``id``, ``tokens`` (array of string); without ``right``,
+    pairs of ``left`` with ``left_id`` < ``right_id``. Result: the ``on`` columns, ``left_id``,
+    ``right_id``, ``jaccard``; every pair once. Empty or null sets and null tokens match nothing. Ids
+    must be unique within ``on``; repeated rows are dropped first.
 
-    Tokens are ordered by rarity over both inputs. Two sets can only reach the threshold if their
-    prefixes of ``n - ceil(threshold * n) + 1`` rarest tokens share one, so only prefixes are joined;
-    the length filter and the positional filter (tokens left after the shared one) cut candidates
-    before the exact verification. Common tokens are never in a prefix of a long set, and a token's
-    join group holds only sets that have it among their rarest, of fitting length.
+    Tokens (as 64-bit hashes) are ordered by rarity over both inputs. Two sets can only reach the
+    threshold if their prefixes of ``n - ceil(threshold * n) + 1`` rarest tokens share one, so only
+    prefixes are joined; the length filter and the positional filter (tokens left after the shared one)
+    cut candidates before the exact verification. A pair is kept at its rarest shared token only, so
+    verified pairs need no further shuffle. Common tokens are never in a prefix of a long set, and a
+    token's join group holds only sets that have it among their rarest, of fitting length.
     """
-    tidy = lambda df: df.select(*on, "id", F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("_set")).where(F.size("_set") > 0).dropDuplicates([*on, "id"])
-    left, right = tidy(left), tidy(right)
-    both = left.select("_set").unionAll(right.select("_set"))
+
+    def tidy(df: DataFrame) -> DataFrame:
+        hashed = F.array_distinct(F.transform(F.filter("tokens", lambda t: t.isNotNull()), lambda t: F.xxhash64(t)))
+        return df.select(*on, "id", hashed.alias("_set")).where(F.size("_set") > 0).dropDuplicates([*on, "id"])
+
+    left = tidy(left)
+    own, right = right is None, left if right is None else tidy(right)
+    both = left.select("_set") if own else left.select("_set").unionAll(right.select("_set"))
     counts = both.select(F.explode("_set").alias("_t")).groupBy("_t").agg(F.count("*").alias("_n"))
 
     def prefixes(sets: DataFrame, side: str) -> DataFrame:
-        ranked = _ranked(sets, [*on, "id"], counts)
+        each = sets.select(*on, "id", F.explode("_set").alias("_t")).join(counts, "_t")
+        ordered = F.array_sort(F.collect_list(F.struct("_n", "_t")))
+        ranked = each.groupBy(*on, "id").agg(F.transform(ordered, lambda x: x["_t"]).alias("_g"))
         size = F.size("_g")
         prefix = F.slice("_g", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
         return ranked.select(*on, F.col("id").alias(f"{side}_id"), F.col("_g").alias(f"_{side}"), F.posexplode(prefix).alias(f"_{side}_at", "_t"))
@@ -48,9 +50,12 @@ def similarity_join(left: DataFrame, right: DataFrame, on: list[str], threshold:
     nl, nr = F.size("_left"), F.size("_right")
     need = F.ceil((nl + nr) * (threshold / (1 + threshold)) - 1e-9)
     fits = (nr >= F.ceil(nl * threshold - 1e-9)) & (nl >= F.ceil(nr * threshold - 1e-9)) & (F.least(nl - F.col("_left_at"), nr - F.col("_right_at")) >= need)
-    pairs = l.join(r, [*on, "_t"]).where(fits).select(*on, "left_id", "right_id", "_left", "_right").dropDuplicates([*on, "left_id", "right_id"])
-    shared = F.size(F.array_intersect("_left", "_right"))
-    return pairs.withColumn("jaccard", shared / (nl + nr - shared)).where(F.col("jaccard") >= threshold - 1e-9).select(*on, "left_id", "right_id", "jaccard")
+    if own:
+        fits = (F.col("left_id") < F.col("right_id")) & fits
+    shared = F.array_intersect("_left", "_right")  # in order of rarity
+    pairs = l.join(r, [*on, "_t"]).where(fits).withColumn("_shared", shared).where(F.col("_shared")[0] == F.col("_t"))
+    n = F.size("_shared")
+    return pairs.select(*on, "left_id", "right_id", (n / (nl + nr - n)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)
 
 
 def best_match(pairs: DataFrame, by: list[str], score: str, *ties: str) -> DataFrame:
