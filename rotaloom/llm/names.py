@@ -160,9 +160,10 @@ def name_links(names: DataFrame, threshold: float = 0.3) -> DataFrame:
     together = F.regexp_replace(F.array_join("_tk", ""), "[=.]", "")
     signs = F.array_union(F.transform(rare, lambda x: F.regexp_replace(x["t"], "[.]", "")), F.array(together))
     signed = known.select("scope", "_id", F.explode(signs).alias("_s"))
-    words = cut_lineage(signed.select("scope", F.col("_s").alias("id")).distinct().withColumn("tokens", grams(F.col("id"))))
+    single = known.select("scope", F.explode(rare).alias("_r")).select("scope", F.regexp_replace("_r.t", "[.]", "").alias("id"))
+    words = cut_lineage(single.distinct().withColumn("tokens", grams(F.col("id"))))
     similar = similarity_join(words, None, ["scope"], threshold).select("scope", "left_id", "right_id")
-    same = words.select("scope", F.col("id").alias("left_id"), F.col("id").alias("right_id"))
+    same = signed.select("scope", F.col("_s").alias("left_id"), F.col("_s").alias("right_id")).distinct()
     similar = similar.unionByName(same).unionByName(_abbreviated(words))
     a = signed.select("scope", F.col("_s").alias("left_id"), F.col("_id").alias("_x"))
     b = signed.select("scope", F.col("_s").alias("right_id"), F.col("_id").alias("_y"))
