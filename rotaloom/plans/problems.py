@@ -27,4 +27,25 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
-ORACLE: dict[str, str] = {}
+_TEXT = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
+_COLON = r"'^(?:kl\.? ?)?(\d{1,2}) ?[:. ] ?(\d{2})(?: ?[:.] ?\d{2})?$'"
+_GLUED = r"'^(?:kl\.? ?)?(\d{1,2})(\d{2})$'"
+
+
+def _minutes(column: str) -> str:
+    text = _TEXT.format(column)
+    value = lambda p: f"try_cast(regexp_extract({text}, {p}, 1) AS INT) * 60 + CASE WHEN try_cast(regexp_extract({text}, {p}, 2) AS INT) < 60 THEN try_cast(regexp_extract({text}, {p}, 2) AS INT) END"
+    return f"coalesce({value(_COLON)}, {value(_GLUED)})"
+
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""
+        WITH t AS (SELECT DISTINCT user_id, schedule_date, {_minutes('shift_start')} AS s, {_minutes('shift_end')} AS e FROM canonical_shift WHERE schedule_date IS NOT NULL),
+        u AS (SELECT user_id, schedule_date, s, CASE WHEN e < s THEN e + 1440 ELSE e END AS e FROM t WHERE s <= 1440 AND e <= 1440 AND s <> e),
+        v AS (SELECT *, max(e) OVER (PARTITION BY user_id, schedule_date ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM u),
+        w AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, schedule_date ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM v),
+        x AS (SELECT user_id, schedule_date, g, min(s) AS a, max(e) AS b FROM w GROUP BY ALL),
+        y AS (SELECT *, lead(a) OVER (PARTITION BY user_id, schedule_date ORDER BY a) AS n FROM x)
+        SELECT user_id, strftime(schedule_date, '%Y-%m-%d') AS schedule_date, 'period' AS kind, a::INT AS start_min, b::INT AS end_min FROM y
+        UNION ALL SELECT user_id, strftime(schedule_date, '%Y-%m-%d'), 'gap', b::INT, n::INT FROM y WHERE n IS NOT NULL""",
+}
