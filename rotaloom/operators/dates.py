@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
@@ -33,8 +34,9 @@ def dates_in_text(texts: DataFrame, default_year: int | None = None) -> DataFram
     forms = [(rf"\b({_WORD})\s+(\d{{1,2}})\s+({_WORD})(?:\s+(\d{{4}}))?\b", 1), (rf"\b()(\d{{1,2}})\s+({_WORD})(?:\s+(\d{{4}}))?\b", 0)]
     parts = []
     for pattern, weekday in forms:
-        groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)) for g in (1, 2, 3, 4)]
-        parts.append(F.transform(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, "wdmy"))), lambda z, weekday=weekday: F.struct(F.lit(weekday).alias("k"), z["w"].alias("w"), z["d"].alias("d"), z["m"].alias("m"), z["y"].alias("y"))))
+        groups = [F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in zip((1, 2, 3, 4), "wdmy")]
+        kinds = F.transform(groups[0], _constant(weekday)).alias("k")
+        parts.append(F.arrays_zip(kinds, *groups))
     each = texts.select(*texts.columns, F.posexplode(F.concat(*parts)).alias("date_seq", "_z"))
     number = F.try_element_at(month, fold(F.col("_z.m")))
     year = F.coalesce(F.nullif(F.col("_z.y"), F.lit("")), F.lit(default_year).cast("string"))
@@ -44,6 +46,10 @@ def dates_in_text(texts: DataFrame, default_year: int | None = None) -> DataFram
     return out.where("no_year or date is not null")
 
 
+def _constant(value: int):
+    return lambda _: F.lit(value)
+
+
 def date_texts(boxes: DataFrame) -> DataFrame:
     """Texts near the top of each image that may hold its date: single boxes and joined lines.
 
@@ -52,16 +58,21 @@ def date_texts(boxes: DataFrame) -> DataFrame:
     rows = boxes.select("image_id", squeeze(F.col("text")).alias("text"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in "xyh")).where("text != ''").withColumn("h", F.greatest("h", F.lit(1.0)))
     schema = T.StructType([T.StructField("image_id", rows.schema["image_id"].dataType), T.StructField("text", T.StringType()), T.StructField("y", T.DoubleType()), T.StructField("h", T.DoubleType()), T.StructField("from_line", T.IntegerType())])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        items = group.sort_values(["y", "x", "text"])[["text", "x", "y", "h"]].to_dict("records")
-        top = min(b["y"] for b in items)
-        limit = top + max(400.0, 0.45 * max(1.0, max(b["y"] + b["h"] for b in items) - top))
-        out = [(" ".join(b["text"] for b in sorted(g, key=lambda b: b["x"])), min(b["y"] for b in g), median(b["h"] for b in g), 1) for g in running_lines(items)]
-        out += [(b["text"], b["y"], b["h"], 0) for b in items]
-        kept = [(group.image_id.iloc[0], *t) for t in out if t[1] <= limit]
-        return pd.DataFrame(kept, columns=schema.names)
+    images = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "text", "h"))).alias("boxes"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(i, *t) for i, boxes in zip(batch.image_id, batch.boxes) for t in _top_texts(list(boxes))], columns=schema.names)
+
+    return images.mapInPandas(run, schema)
+
 
-    return rows.groupBy("image_id").applyInPandas(run, schema)
+def _top_texts(items: list[dict]) -> list[tuple[str, float, float, int]]:
+    top = min(b["y"] for b in items)
+    limit = top + max(400.0, 0.45 * max(1.0, max(b["y"] + b["h"] for b in items) - top))
+    out = [(" ".join(b["text"] for b in sorted(g, key=lambda b: b["x"])), min(b["y"] for b in g), median(b["h"] for b in g), 1) for g in running_lines(items)]
+    out += [(b["text"], b["y"], b["h"], 0) for b in items]
+    return [t for t in out if t[1] <= limit]
 
 
 def image_dates(boxes: DataFrame, default_year: int | None = None) -> DataFrame:

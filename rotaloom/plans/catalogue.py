@@ -148,7 +148,7 @@ def _entry_boxes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "entry").where("schedule_date is not null").dropDuplicates(["entry_id"])
     n = F.row_number().over(layout_window("session_id"))
     card = F.array(
-        F.struct(F.concat(text.strict_time(_C("shift_start")), F.lit(" - "), text.strict_time(_C("shift_end"))).alias("text"), F.lit(0).alias("line")),
+        F.struct(F.concat(text.strict_time(_C("shift_start")), F.lit("-"), text.strict_time(_C("shift_end"))).alias("text"), F.lit(0).alias("line")),
         F.struct(_C("title").alias("text"), F.lit(1).alias("line")), F.struct(_C("address").alias("text"), F.lit(2).alias("line")), F.struct(_C("location").alias("text"), F.lit(3).alias("line")),
     )
     cards = rows.withColumn("n", n).select(_C("session_id").alias("image_id"), "n", F.inline(card)).select("image_id", "text", F.lit(60.0).alias("x"), (_C("n") * 160 + _C("line") * 22).cast("double").alias("y"), F.lit(200.0).alias("w"), F.lit(18.0).alias("h"))
