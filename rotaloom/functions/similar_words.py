@@ -25,28 +25,35 @@ def closest(text: str, patterns: list[str]) -> tuple[float, int]:
     Of equal ratios the earlier pattern wins. Cheap bounds are tried before the full comparison.
     """
     best, at = 0.0, -1
-    matcher = SequenceMatcher(None)
+    groups = word_groups(text)
     for number, pattern in enumerate(patterns):
-        matcher.set_seq2(pattern)
-        for group in word_groups(text):
-            if abs(len(group) - len(pattern)) > LENGTH_GAP:
+        matcher = None
+        for group in groups:
+            least = max(best, LEAST_RATIO)
+            if abs(len(group) - len(pattern)) > LENGTH_GAP or 2 * min(len(group), len(pattern)) < least * (len(group) + len(pattern)):
                 continue
+            if matcher is None:
+                matcher = SequenceMatcher(None)
+                matcher.set_seq2(pattern)
             matcher.set_seq1(group)
-            least = max(best, LEAST_RATIO)
-            if matcher.real_quick_ratio() < least or matcher.quick_ratio() < least:
+            if matcher.quick_ratio() < least:
                 continue
-            ratio = SequenceMatcher(None, group, pattern).ratio()
+            ratio = matcher.ratio()
             if ratio >= LEAST_RATIO and ratio > best:
                 best, at = ratio, number
     return best, at
 
 
 def closest_label(values: DataFrame, column: str, patterns: list[str]) -> DataFrame:
-    """``values``' distinct texts with the number of the closest pattern (-1: none) and the ratio."""
+    """``values``' distinct texts with the number of the closest pattern (-1: none) and the ratio.
+
+    The comparison is costly for its bytes, so the texts are spread over all partitions.
+    """
 
     @F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("pattern", T.IntegerType())]))
     def judged(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([closest(t or "", patterns) for t in texts], columns=["ratio", "pattern"])
 
-    distinct = values.select(column).distinct().withColumn("_c", judged.asNondeterministic()(column))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = values.select(column).distinct().repartition(parts).withColumn("_c", judged.asNondeterministic()(column))
     return distinct.select(column, "_c.ratio", "_c.pattern")

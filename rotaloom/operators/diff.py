@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rotaloom.functions.clock import to_minutes
 from rotaloom.functions.identity import value_hash
 from rotaloom.operators.versions import first_of
+from rotaloom.session import cut_lineage
 
 DEDUPE = ["user_id", "schedule_date", "event_type", "location_fingerprint", "customer_fingerprint", "old_value_hash", "new_value_hash"]
 
@@ -56,12 +57,12 @@ def diff_days(days: DataFrame, keys: list[str]) -> DataFrame:
     nearest times: differing times, else name, else type make the event. Stage 2 pairs what is left by
     customer and times (relocated), stage 3 by location and times (retitled); the rest is removed or added.
     """
-    old, new = _sides(days, keys, "old_shifts"), _sides(days, keys, "new_shifts")
-    first = _nearest_pairs(old, new, keys)
+    old, new = cut_lineage(_sides(days, keys, "old_shifts")), cut_lineage(_sides(days, keys, "new_shifts"))  # each read by every stage
+    first = cut_lineage(_nearest_pairs(old, new, keys))
     old2, new2 = _without(old, first, keys, "_o"), _without(new, first, keys, "_n")
-    moved = _indexed_pairs(old2, new2, keys, ["customer_fingerprint", "start", "end"])
+    moved = cut_lineage(_indexed_pairs(old2, new2, keys, ["customer_fingerprint", "start", "end"]))
     old3, new3 = _without(old2, moved, keys, "_o"), _without(new2, moved, keys, "_n")
-    named = _indexed_pairs(old3, new3, keys, ["location_fingerprint", "start", "end"])
+    named = cut_lineage(_indexed_pairs(old3, new3, keys, ["location_fingerprint", "start", "end"]))
     gone, come = _without(old3, named, keys, "_o"), _without(new3, named, keys, "_n")
 
     both = first.withColumn("_stage", F.lit(1)).unionByName(moved.withColumn("_stage", F.lit(2))).unionByName(named.withColumn("_stage", F.lit(3)))
