@@ -61,4 +61,20 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found}
-ORACLE: dict[str, str] = {}
+_STAND_INS = "'ingen uppgift', 'ej angivet', 'ej angiven', 'ej känd', 'ej känt', 'saknas', 'okänd', 'okänt', 'unknown', 'null', 'none', 'nil', 'nan', 'tbd', 'tba', 'todo', 'n/a', 'n.a.', 'na', 'xxx', 'xx', 'x', 'missing', 'empty', 'test', 'ingen', 'inget', 'uppgift saknas', 'not available'"
+
+
+def _real(value: str) -> str:
+    text = f"lower(trim(regexp_replace({value}, '\\s+', ' ', 'g')))"
+    bare = f"regexp_replace({text}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+    same = f"(length({bare}) > 2 AND regexp_matches({bare}, '^[0-9]+$') OR length({bare}) > 1 AND regexp_matches({bare}, '^\\p{{L}}+$')) AND replace({bare}, {bare}[1], '') = ''"
+    return f"coalesce({bare} <> '' AND {text} NOT IN ({_STAND_INS}) AND NOT regexp_matches({text}, '(\\.\\.\\.|…)$') AND NOT regexp_matches({bare}, '^0+$') AND NOT regexp_matches({bare}, '^1234[0-9]*$') AND NOT ({same}), false)"
+
+
+_FIELDS = ["customer_name", "street", "street_number", "postal_code", "city", "raw_type_label"]
+_EACH = " UNION ALL ".join([f"SELECT dup_group, agg_id, source_count, aggregated_at, '{f}' AS field_name FROM g WHERE {_real(f)}" for f in _FIELDS] + [f"SELECT dup_group, agg_id, source_count, aggregated_at, 'notes' FROM g WHERE len(list_filter(notes, lambda n: {_real('n')})) > 0"])
+ORACLE: dict[str, str] = {
+    "p3_found": f"""
+        WITH g AS (SELECT DISTINCT ON (agg_id) * FROM aggregated_shift WHERE dup_group IN (SELECT dup_group FROM aggregated_shift GROUP BY 1 HAVING count(DISTINCT agg_id) > 1)), e AS ({_EACH})
+        SELECT dup_group, field_name, agg_id FROM e QUALIFY row_number() OVER (PARTITION BY dup_group, field_name ORDER BY source_count DESC NULLS LAST, aggregated_at DESC, agg_id) = 1""",
+}
