@@ -6,12 +6,13 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rotaloom.llm.components import components
-from rotaloom.llm.spelling import osa, unaccented, unread
+from rotaloom.llm.setsim import best_match
+from rotaloom.llm.spelling import osa, typos, unaccented, unread
 from rotaloom.session import cut_lineage
 
 #: Kinds of street, and how each is shortened.
@@ -100,9 +101,11 @@ def place(address, location, street, number, post, area, city) -> tuple[list[str
             streets |= street_forms(s)
     code = _POST.search(post)
     at = {f"z{c}" for c in ((code[1] + code[2]) if code else "", a_post) if c}
-    at |= {f"t{letters(t)}" for t in (city, area, a_town) if len(letters(t)) > 1}
-    if not at and location:
-        at = {f"t{letters(location)}"}
+    towns = {letters(t) for t in (city, area, a_town) if len(letters(t)) > 1}
+    at |= {f"t{t}" for t in towns}
+    said = letters(location)
+    if not at and said or len(said) > 4 and any(len(t) > 4 and typos(said, t, 2) <= 2 for t in towns):
+        at.add(f"t{said}")  # the town itself, spelled a second time
     return sorted(streets), house_number(number) or a_number, sorted(at)
 
 
@@ -111,6 +114,31 @@ def _place(address: pd.Series, location: pd.Series, street: pd.Series, number: p
     return pd.DataFrame([place(*r) for r in zip(address, location, street, number, post, area, city)], columns=["streets", "number", "at"])
 
 
+@F.pandas_udf(T.BooleanType())
+def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([typos(x[1:], y[1:], 1) <= 1 for x, y in zip(a, b)], dtype=bool)
+
+
+def _cuts(text: Column) -> Column:
+    """``text`` whole and with any one letter left out."""
+    return F.array_union(F.array(text), F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.lit(200)))))
+
+
+def _right_towns(parsed: DataFrame) -> DataFrame:
+    """The most frequent spelling (``_near``) one edit from a town (``_t``), if it is as frequent as the town itself.
+
+    Towns of fewer than five letters have none, nor has a town with two postal codes or more of which
+    the other town has none: these are two towns.
+    """
+    each = parsed.select(F.explode("at").alias("_t"), F.filter("at", lambda t: t.startswith("z")).alias("_z")).where("_t like 't_____%'")
+    towns = each.select("_t", F.explode_outer("_z").alias("_z")).groupBy("_t", "_z").agg(F.count("*").alias("_n")).groupBy("_t").agg(F.sum("_n").alias("_n"), F.collect_set("_z").alias("_z"))
+    towns = cut_lineage(towns)
+    cut = towns.select("_t", "_n", "_z", F.explode(_cuts(F.col("_t"))).alias("_c"))
+    pairs = cut.join(cut.select(F.col("_t").alias("_near"), F.col("_n").alias("_m"), F.col("_z").alias("_y"), "_c"), "_c")
+    pairs = pairs.where((F.col("_t") != F.col("_near")) & (F.col("_n") <= F.col("_m")) & ((F.size("_z") < 2) | F.arrays_overlap("_z", "_y")))
+    return best_match(pairs.select("_t", "_near", "_m").distinct().where(_one_edit("_t", "_near")), ["_t"], "_m", "_near").select("_t", "_near")
+
+
 def place_links(entries: DataFrame, hot: int = 1000) -> DataFrame:
     """Pairs of entries at the same street, house number and town.
 
@@ -121,7 +149,9 @@ def place_links(entries: DataFrame, hot: int = 1000) -> DataFrame:
 
     Both readings are expanded into all plausible street forms (short kinds of street written out,
     accents, letter case, spaces and read errors removed) and localities (towns, postal codes; the
-    location, which may name the municipality, only where there is nothing else). Flats, floors,
+    location, which may name the municipality, only where there is nothing else or where it is one of
+    the towns but for two edits). A town with a typo also counts as the most frequent spelling one edit
+    away, found by joining the distinct towns with any one letter left out. Flats, floors,
     entrances and c/o are taken out. Entries with equal expansions form one variant. Hashes of street
     stem (whole and with any one letter left out, so that a typo on either side still meets), kind of
     street, house number and locality are equi-joined: as the house number is part of every hash,
@@ -132,10 +162,10 @@ def place_links(entries: DataFrame, hot: int = 1000) -> DataFrame:
     rows = entries.where(F.col("entry_id").isNotNull()).select("entry_id", *fields).dropDuplicates(["entry_id"])
     parsed = rows.select("entry_id", _place(*fields).alias("_p")).select("entry_id", "_p.*").where((F.col("number") != "") & (F.size("streets") > 0) & (F.size("at") > 0))
     parsed = cut_lineage(parsed.withColumn("variant", F.xxhash64("streets", "number", "at")))
-    variants = parsed.dropDuplicates(["variant"]).select("variant", "number", F.explode("streets").alias("_s"), "at")
+    variants = parsed.dropDuplicates(["variant"]).select("variant", "number", "streets", F.explode("at").alias("_t")).join(_right_towns(parsed), "_t", "left")
+    variants = variants.select("variant", "number", F.explode("streets").alias("_s"), F.array_compact(F.array("_t", "_near")).alias("at"))
     stem, kind = F.split_part("_s", F.lit("|"), F.lit(1)), F.split_part("_s", F.lit("|"), F.lit(2))
-    cut = F.array_union(F.array("_stem"), F.transform(F.sequence(F.lit(1), F.greatest(F.length("_stem"), F.lit(1))), lambda i: F.concat(F.substring("_stem", F.lit(1), i - 1), F.substring("_stem", i + 1, F.lit(200)))))
-    forms = variants.select("variant", "number", "at", stem.alias("_stem"), kind.alias("_kind")).withColumn("_f", F.explode(cut))
+    forms = variants.select("variant", "number", "at", stem.alias("_stem"), kind.alias("_kind")).withColumn("_f", F.explode(_cuts(F.col("_stem"))))
     keys = forms.select("variant", F.explode(F.transform("at", lambda t: F.xxhash64(F.col("_f"), F.col("_kind"), F.col("number"), t))).alias("_k")).distinct()
     least = keys.groupBy("_k").agg(F.min("variant").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     links = keys.join(least, "_k").where("variant != _least").select(F.col("variant").alias("a"), F.col("_least").alias("b")).distinct()

@@ -95,6 +95,15 @@ def test_place_links(spark):
     assert len(got) == len(set(got)) == 60 * 59 // 2
 
 
+def test_a_misread_town_without_a_code_is_linked(spark):
+    rows = [entry(86, "Lovisabacksgränd", "", "Lovisabacksgrand", "7", "392 36", "", "Hjorteköping"), entry(2189, "Lovisabacksgränd 7, 39236 Hjorteköp1ng"), entry(2192, "lovisabacksgränd 7", "Hjorteköping", "Lovisabacksgränd", "7", None, "", "Horteköping")]
+    rows += [entry(3, "Humlelundsgatan 1, Skallbo"), entry(4, "Humlelnudsgatan 1, Skalbo"), entry(5, "Ekgatan 2, Skalbo")]  # typos in street and town, no location
+    rows += [entry(10, "Ekgatan 1, 111 11 Perslebo"), entry(11, "Ekgatan 3, 111 12 Perslebo"), entry(12, "Ekgatan 1, 222 21 Persebo"), entry(13, "Ekgatan 3, 222 22 Persebo")]  # two towns
+    rows += [entry(20, "Ekgatan 9, Almbo", "Granvik"), entry(21, "Ekgatan 9, Granvik")]  # the location names the municipality
+    want = {(86, 2189), (86, 2192), (2189, 2192), (3, 4)}
+    assert {tuple(r) for r in place_links(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 def check_packing(sizes, capacity, containers):
     assert (containers >= 0).all()
     for c in np.unique(containers):
