@@ -76,6 +76,15 @@ _GIVEN = {unaccented(g).lower() for g in GIVEN}
 _SURNAME = re.compile(r"(?:hjelm|felt|skata|oga|mantel|bolander|quarn|torpe|klintz|rydh|wede|strale|sson|berg|strom|lund|qvist|gren|dahl)$")
 
 
+#: Words before or behind a name, and words of organisations and of titles, for names outside the lists.
+_WARM_LEFT = re.compile(r"(?i:\bthanks?(?: go)?(?: to)?|\bgrateful to|\bindebted to|\btack(?: till|ar)|\bdank(?:t|en)|\bdr\.?|\bprof(?:\.|essor)?|\bmrs?\.?|\bms\.?|\bherrn?|\bfrau|\bfru|\bkontakta|\bcontact|\bname:|\bparticipant|\bvolunteer|\bpatient|\bsubject|\bask|\bring|acknowledgements\})" rf"(?:[\s~]+(?:{_TWO}|[{_UP}]\.)(?:[\s~]+[{_UP}]\.)?[\s~]+{_CAP}(?:,|,?[\s~]+(?:and|och|und)(?=[\s~])))*[\s~]*$")  # behind other names too
+_COOL_LEFT = re.compile(r"\b(?:by|with|to|from|and|och|und|av|von|mit|at|of|in)[\s~]*$", re.I)
+_WARM_RIGHT = re.compile(r"\s*(?:\(?(?:pnr\b|personnummer\b|\d{6,8}(?:--?|\+| )?\d{4})|&\s*\d{6}|,?\s*who\b|kindly\b|withdrew\b|left the study)", re.I)
+_ORGANISATION = re.compile(r"\b(?:universit\w*|institut\w*|council|foundation|academy|school|college|department|centre|center|laborator\w*|society|press|verlag|group|team|project|program\w*|grant|fund|committee|office|agency|association|library|research|science|museum|hospital|new|north|south|east|west|san|los|monte|united|states)\b", re.I)
+_TITLE = re.compile(r"(?:thanks?|professor|prof|dr|mrs?|ms|herrn?|frau|fru|tack|vi|we|ask|ring|contact|kontakta|participant|volunteer|patient|subject|name|the|a|an|in|on|to|by|from|for|with|and|letters|notes|dear)$")
+_LOWER_WORD = re.compile(rf"(?<![^\W\d_])[{_LOW}]{{2,}}(?![^\W\d_])")
+
+
 def decoded(text: str) -> tuple[str, list[int], list[int]]:
     """``text`` with accents written as commands turned into letters, and the places where offsets shift."""
     if not _SOURCE.search(text):
@@ -137,11 +146,12 @@ def candidates(text: str) -> list[Span]:
         out += _extended(text, m, _TAIL_SV, "sv")
     for m in _ADDRESS_EN.finditer(text):
         out += _extended(text, m, _TAIL_EN, "en")
-    at, zones = 0, [*_zones(text), (len(text), len(text))]
+    at, zones, common = 0, [*_zones(text), (len(text), len(text))], set()
     for lo, hi in zones:
         while at < lo and (m := _NAMES.search(text, at)) and m.start() < lo:
             at = m.start() + max(1, len(_FIRST.match(m[0])[0]))  # the next candidate may begin with the next word
-            f = _name_features(text, m)
+            common = common or {"", *_LOWER_WORD.findall(text)}
+            f = _name_features(text, m, common)
             if f:
                 out.append((m.start(), m.end(), "name", f))
         at = max(at, hi)
@@ -166,7 +176,27 @@ def _zones(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _name_features(text: str, m: re.Match) -> tuple[str, ...]:
+def _unlisted(text: str, m: re.Match, long: list[str], common: set[str]) -> tuple[str, ...]:
+    """Features of a possible name outside the lists: its form, its words elsewhere in the text (``common``: in lower case), its surroundings."""
+    name = m[0]
+    right, left = text[m.end() : m.end() + 32], text[max(0, m.start() - 90) : m.start()]
+    words = [w.lower() for w in re.findall(r"[^\W\d_]{2,}", name)]
+    warm, cool, behind = _WARM_LEFT.search(left), _COOL_LEFT.search(left), _WARM_RIGHT.match(right)
+    f = ["other", "other:inverted" if "," in name else "other:initial" if len(long) == 1 else "other:plain", f"other:usual{min(2, sum(w in common for w in words))}"]
+    f.append("other:warm" if warm else "other:cool" if cool else "other:noleft")
+    f.append("other:behind" if behind else "other:noright")
+    f += ["other:warmth"] * (bool(warm or behind))
+    f += ["other:organisation"] * (_ORGANISATION.search(name) is not None)
+    f += ["other:titled"] * (_TITLE.match(words[0]) is not None)
+    f += ["other:result"] * (_RESULT.match(right) is not None)
+    f += ["other:cited"] * (re.match(r"\s*\\?\\cite", right) is not None)
+    f += ["other:partial"] * (_BEFORE.search(left) is not None and not warm)
+    f += ["other:goeson"] * (re.match(rf"[ ~-][{_UP}][{_LOW}]", right) is not None)
+    f += ["other:capitals"] * (name.isupper() and len(long) > 1)
+    return tuple(f)
+
+
+def _name_features(text: str, m: re.Match, common: set[str]) -> tuple[str, ...]:
     name = m[0]
     parts = re.findall(r"[^\W\d_]+", unaccented(name).lower())
     long = [p for p in parts if len(p) > 1]
@@ -177,7 +207,7 @@ def _name_features(text: str, m: re.Match) -> tuple[str, ...]:
     surname = long[0] if inverted else long[-1]
     shaped = _SURNAME.search(surname) is not None
     if not given and not (shaped and ("." in name or len(long) > 1)):
-        return ()
+        return _unlisted(text, m, long, common)
     right, left = text[m.end() : m.end() + 24], text[max(0, m.start() - 24) : m.start()]
     f = [f"name:given{min(given, 1)}", f"name:shape{int(shaped)}", "name:inverted" if inverted else "name:plain"]
     if "." in name and len(long) == 1:
@@ -321,10 +351,10 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 12
 
 @lru_cache(1)
 def trained(examples: int = 1500, seed: int = 7) -> tuple[tuple[str, float], ...]:
-    """The model, trained on ``examples`` sentences of the built-in labelled generator (a fixed bound)."""
-    from rotaloom.llm.personal_training import sentences
+    """The model, trained on ``examples`` sentences each of the two built-in labelled generators (a fixed bound)."""
+    from rotaloom.llm.personal_training import sentences, unlisted
 
-    return tuple(sorted(fit(sentences(examples, seed)).items()))
+    return tuple(sorted(fit([*sentences(examples, seed), *unlisted(examples, seed)]).items()))
 
 
 def find(text: str, weights: dict[str, float]) -> list[tuple[int, int, str]]:
@@ -355,7 +385,8 @@ def find_personal(documents: DataFrame, examples: int = 1500) -> DataFrame:
     repeated rows give repeated rows. Texts are read whole, in one pass without a shuffle.
 
     A semi-Markov conditional random field: patterns propose candidate spans, each scored by features
-    of the whole span (form, check sum, known given name, town) and of its surroundings; dynamic
+    of the whole span (form, check sum, known given name, town) and of its surroundings; names outside
+    the lists need a context that speaks for a person; dynamic
     programming picks the best set that doesn't overlap. Weights are trained in the driver on
     ``examples`` sentences of the labelled generator.
     """

@@ -111,3 +111,37 @@ def sentences(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str
             text += value
         out.append((text, spans))
     return out
+
+
+_OTHERS = ["Hans", "Ingrid", "John", "Mary", "Pierre", "Jürgen", "Agnieszka", "Carlos", "Wei", "Fatima", "Otto", "Greta", "Ivan", "Priya", "Kofi", "Heidi"]
+_FAMILIES = ["Müller", "Smith", "Novak", "Dupont", "Kowalska", "García", "Zhang", "Haddad", "Brown", "Weber", "Petrov", "Rao", "Mensah", "Jansen", "Rossi", "Fischer"]
+_TERMS = ["Random Forest", "Gaussian Elimination", "Hilbert Space", "Neural Network", "Finite Element", "Main Theorem", "Central Limit", "Markov Chain", "Data Set", "Lower Bound"]
+_PROPER = ["Monte Carlo", "New York", "Los Alamos", "San Diego", "Springer Verlag", "North Sea", "Nordic Council", "Ekstad University", "Royal Academy", "Baltic Institute"]
+_WARM = [
+    "Thanks to {} for the samples.", "Thanks go to {} for help.", "We thank {} for comments.", "I am grateful to {}.", "Vi tackar {} för hjälp.", "Wir danken {} sehr.", "Professor {} stayed.", "The visit of Dr. {} was short.",
+    "Mr. {} signed.", "Fru {} bor kvar.", "{} (pnr NUMBER) left.", "{} (NUMBER) stayed.", "{} & NUMBER \\\\", "Participant {} did not answer.", "% ask {} first", "% ring {} om figur 3", "Kontakta {} om data.", "name: {}\nid: x", "{} kindly lent the data.",
+    "We spoke to {}, who kept the notes.", "{} withdrew.",
+]
+_COLD = ["results by {} are old", "compared with {} here", "We move from {} to the next part", "{} is used below.", "See {} for more.", "In {} we find it.", "The {} method", "as in {} and others", "{}, {} and more", "\\section{{{}}}", "close to {} it fails", "{} \\cite{{a}} holds"]
+
+
+def unlisted(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """``count`` texts with and without names that no list holds, labelled as in ``sentences``."""
+    r = random.Random(seed + 1)
+    out = []
+    for i in range(count):
+        given, family = r.choice(_OTHERS), r.choice(_FAMILIES)
+        name = r.choice([f"{given} {family}"] * 4 + [f"{given}~{family}", f"{family}, {given}", f"{given[0]}. {family}", f"{given} {r.choice('ABEKLM')}. {family}"])
+        term = r.choice(_TERMS)
+        if i % 2 == 0:
+            text, number = r.choice(_WARM), _person_number(r)
+            at, text = text.index("{}"), text.format(name)
+            id_at = text.find("NUMBER")
+            out.append((text.replace("NUMBER", number), [(at, at + len(name), "name")] + [(id_at, id_at + len(number), "id_number")] * (id_at >= 0)))
+        elif i % 8 == 1:
+            out.append((r.choice(["We thank the {} for funds.", "Thanks to {} for funds.", "supported by {} in part"]).format(r.choice(_PROPER)), []))
+        elif i % 8 == 3:
+            out.append((r.choice(_WARM).format(term).replace("NUMBER", "x") + f" A {term.lower()} is usual.", []))
+        else:
+            out.append((r.choice(_COLD).replace("{}", "{0}").format(r.choice([term, r.choice(_PROPER), f"{family}, {given[0]}."])) + r.choice(["", f" A {term.lower()} is usual."]), []))
+    return out

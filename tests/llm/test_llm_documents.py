@@ -101,6 +101,15 @@ def test_spans_in_source():
     assert find("a" * 200_000 + " 1" * 100_000, WEIGHTS) == []
 
 
+def test_names_outside_the_lists():
+    for text, name in [("Thanks to Hans Müller for the data.", "Hans Müller"), ("John Smith (pnr 850412-1234) left.", "John Smith"), ("We thank Beatriz Oliveira for comments.", "Beatriz Oliveira"), ("Professor Nadia Rahman kindly shared it.", "Nadia Rahman"), ("% ask T. Okafor first", "T. Okafor")]:
+        assert [text[a:b] for a, b, k in find(text, WEIGHTS) if k == "name"] == [name]
+    thanked = "We thank Hans Müller, Nadia Rahman and T. Okafor for help."
+    assert [thanked[a:b] for a, b, _ in find(thanked, WEIGHTS)] == ["Hans Müller", "Nadia Rahman", "T. Okafor"]
+    for text in ("Thanks to Monte Carlo runs and a New York office.", "The Hilbert Space method by Springer Verlag.", "The Hans Müller theorem is sharp.", "\\author{John Smith}", "Results from Random Forest are old; a random forest is usual."):
+        assert find(text, WEIGHTS) == []
+
+
 def test_find_and_mask_personal(spark):
     rows = [(1, "Questions go to \\{anna, berg\\}@lab.example.net.", "k"), (2, None, "k"), (3, "", "k"), (None, "tel.~+46 31 390 06 28.", "k")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
