@@ -40,6 +40,8 @@ _NAMES = re.compile(
 _FIRST = re.compile(r"[^\W\d_]*")
 _DASH = r"(?:--?|–|‑)"
 _DIGITS = re.compile(r"[+(]?\d(?:[\d() ~/.\-–]|\\[,; ])*\d")
+_START = re.compile(r"(?<![\d.\-–+])[(\d]")  # where a number may begin inside a run
+_BETWEEN_NUMBERS = " ~/\\,;"
 _PHONES = [
     re.compile(r"(?:\+|00)\d{1,3}(?:[ ~/.\-–]|\\,)*(?:\(0\))?(?:(?:[ ~/.\-–]|\\,)*\(?\d+\)?){1,6}"),
     re.compile(r"\(0\d{1,3}\)(?:(?:[ ~/.\-–]|\\,)+\d{2,4}){1,4}"),
@@ -139,9 +141,7 @@ def candidates(text: str) -> list[Span]:
             out.append((local.start(), domain.end(), "email", tuple(f)))
     for m in _DIGITS.finditer(text):
         if len(m[0]) >= 9 and sum(c.isdigit() for c in m[0]) >= 9:
-            out += _numbers(text, m.start())
-            if m[0][0] == "(":
-                out += _numbers(text, m.start() + 1)
+            out += _run(text, m)
     for m in _ADDRESS_SV.finditer(text):
         out += _extended(text, m, _TAIL_SV, "sv")
     for m in _ADDRESS_EN.finditer(text):
@@ -249,11 +249,41 @@ def _extended(text: str, m: re.Match, tail: re.Pattern, kind: str) -> list[Span]
     return out
 
 
-def _numbers(text: str, start: int) -> list[Span]:
-    """Phone and identity numbers that begin at ``start``."""
+def _run(text: str, run: re.Match) -> list[Span]:
+    """Phone and identity numbers in a run of digits and separators, which may hold several."""
+    first = run.start() + (run[0][0] == "(")
+    starts = sorted({run.start()} | {run.start() + k.start() for k in _START.finditer(run[0])})
+    own: dict[int, list[Span]] = {}
+    ends, reach = set(), 0
+    for p in starts:
+        if text[p - 1 : p] == "/" and p > first and p - 1 not in ends:
+            continue  # a slash inside a number, unless a whole number ends there
+        later = [] if p <= first else ["later:inner" if p < reach else "later:apart", "later:signed" if re.match(r"\(|\d+-", text[p : p + 6]) else "later:bare"]
+        own[p] = [(a, b, k, (*f, *later)) for a, b, k, f in _numbers(text, p, run.start() if later else p)]
+        ends |= {b for _, b, _, _ in own[p]}
+        reach = max([reach, *(b for _, b, _, _ in own[p])])
+    out = [s for spans in own.values() for s in spans]
+    begins = [p for p in own if own[p]]
+    for p in own:
+        for k, pattern in enumerate(_PHONES):
+            whole = pattern.match(text, p)
+            if not whole or re.search(r"[\w.\-]$", text[max(0, p - 1) : p]):
+                continue
+            for q in begins[bisect_right(begins, p) : bisect_right(begins, whole.end())]:  # numbers that it would run into
+                end = len(text[p:q].rstrip(_BETWEEN_NUMBERS)) + p
+                m = pattern.match(text, p, end)
+                if m and m.end() == end and 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+                    out.append((p, end, "phone", (f"phone:form{k}", "phone:size", "phone:cut", "later:signed" if re.match(r"\+|\(|\d+-", m[0]) else "later:bare")))
+    return out
+
+
+def _numbers(text: str, start: int, run: int) -> list[Span]:
+    """Phone and identity numbers that begin at ``start``, in a run of digits that begins at ``run``."""
     out = []
-    left = text[max(0, start - 30) : start]
+    left = text[max(0, run - 30) : run]
     around = ("not" if _NOT_LEFT.search(left) else "", "id" if _ID_LEFT.search(left) else "", "phone" if _PHONE_LEFT.search(left) else "")
+    if run < start:
+        around, left = (around[0], "", around[2]), text[start - 1 : start].replace("/", "")
     for pattern in (_ID_SV, _ID_US):
         m = pattern.match(text, start)
         if m and not re.match(r"[\d\w]|[-.]\d", text[m.end() : m.end() + 2]) and not re.search(r"[\w.\-/]$", left):
@@ -351,10 +381,10 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 12
 
 @lru_cache(1)
 def trained(examples: int = 1500, seed: int = 7) -> tuple[tuple[str, float], ...]:
-    """The model, trained on ``examples`` sentences each of the two built-in labelled generators (a fixed bound)."""
-    from rotaloom.llm.personal_training import sentences, unlisted
+    """The model, trained on ``examples`` sentences each of the built-in labelled generators (a fixed bound)."""
+    from rotaloom.llm.personal_training import runs, sentences, unlisted
 
-    return tuple(sorted(fit([*sentences(examples, seed), *unlisted(examples, seed)]).items()))
+    return tuple(sorted(fit([*sentences(examples, seed), *unlisted(examples, seed), *runs(examples, seed)]).items()))
 
 
 def find(text: str, weights: dict[str, float]) -> list[tuple[int, int, str]]:

@@ -145,3 +145,30 @@ def unlisted(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]
         else:
             out.append((r.choice(_COLD).replace("{}", "{0}").format(r.choice([term, r.choice(_PROPER), f"{family}, {given[0]}."])) + r.choice(["", f" A {term.lower()} is usual."]), []))
     return out
+
+
+_RUNS = ["{phone} / {phone}", "{phone} {phone}", "{id_number} {phone}", "{phone}/{phone}", "{phone} {id_number}", "{day} {phone}", "{item}. {phone}", "({item}) {phone}", "tel. {phone} / {phone}", "ring {phone} {phone}", "{item}. {id_number}", "{item} {day} {id_number} {phone}", "{phone}", "tel. {phone}", "{name} & {id_number}"]
+
+
+def runs(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """``count`` texts with several numbers, dates and list numbers in one run of digits, labelled as in ``sentences``."""
+    r = random.Random(seed + 2)
+    out = []
+    for i in range(count):
+        text, spans = "", []
+        if i % 3 == 2:
+            rows = [" ".join(f"{r.choice(['0', '', '', '1.', '12.'])}{_digits(r, r.randint(2, 4))}" for _ in range(r.randint(4, 9))) for _ in range(2)]
+            out.append((r.choice([f"values {rows[0]} here", f"{rows[0]} & {rows[1]}", f"run {_person_number(r, False)} {_digits(r, 4)}", f"ISSN 0317-{_digits(r, 4)} 2024-05-01 12:30"]), []))
+            continue
+        for k, part in enumerate(r.choice(_RUNS).split("{")):
+            if k:
+                kind, _, part = part.partition("}")
+                if kind in _MAKE:
+                    value = _MAKE[kind](r)
+                    spans.append((len(text), len(text) + len(value), kind))
+                else:
+                    value = str(r.randint(1, 20)) if kind == "item" else f"20{r.randint(10, 29)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
+                text += value
+            text += part
+        out.append((text, spans))
+    return out

@@ -110,6 +110,16 @@ def test_names_outside_the_lists():
         assert find(text, WEIGHTS) == []
 
 
+def test_several_numbers_in_one_run():
+    phone, other = "070-123 45 67", "031-123 45 67"
+    for text, want in [
+        (f"{other} / {phone}", [other, phone]), (f"{other}/{phone}", [other, phone]), (f"tel. {other} {phone}", [other, phone]), (f"850412-1230 {phone}", ["850412-1230", phone]),
+        (f"1. {phone}", [phone]), (f"2024-05-01 {phone}", [phone]), (f"(2) {other}", [other]), ("+46 31 390 06 28 / 070-123 45 67", ["+46 31 390 06 28", phone]),
+        ("+46 (0)70-681 68 55", ["+46 (0)70-681 68 55"]), ("values 12 034 567 89 012 13", []),
+    ]:
+        assert [text[a:b] for a, b, _ in find(text, WEIGHTS)] == want, text
+
+
 def test_find_and_mask_personal(spark):
     rows = [(1, "Questions go to \\{anna, berg\\}@lab.example.net.", "k"), (2, None, "k"), (3, "", "k"), (None, "tel.~+46 31 390 06 28.", "k")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
