@@ -53,7 +53,9 @@ _ID_US = re.compile(r"\d{3}([ \-~])\d{2}\1\d{4}")
 _HOST = r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]|\\-)*)"
 _AT = re.compile(r"@|\(at\)|\[at\]|\{at\}|\$@\$| at (?=\w+ dot )", re.I)
 _AT_SIGNS = ("(at)", "[at]", "{at}", "(AT)", "[AT]", " dot ", " DOT ")
-_LOCAL = re.compile(r"(?:\\?\{[^{}@\n\\]{2,80}\\?\}|(?:[\w.+\-]|\\[_&])*(?:\w|\\_))(?:\\,|[ ~])?$")
+_LIST_END = re.compile(r"\}(?:\\,|[ ~])?$")
+_LIST = re.compile(r"\\?\{(?:[^{}@\\\r\n]|\\(?![{}])|(?:\r\n?|\n)(?![ \t]*[\r\n])){2,}\\?\}(?:\\,|[ ~])?")
+_LOCAL = re.compile(r"(?:(?:[\w.+\-]|\\[_&])*(?:\w|\\_))(?:\\,|[ ~])?$")
 _DOMAIN = re.compile(rf"(?:\\,|[ ~])?{_HOST}(?:(?:\.|[ ~]?[\[({{]dot[\])}}][ ~]?| dot ){_HOST})+", re.I)
 _TOWN = rf"[{_UP}](?:[{_LOW}]+|[{_UP}]+)(?:[ ~](?!UK|USA)[{_UP}][{_LOW}]+)?"
 _ADDRESS_SV = re.compile(rf"(?<!\w)(?:[{_UP}][{_LOW}]+ )?[{_UP}][{_LOW}{_UP}]*(?:{STREETS_SV}|{STREETS_SV.upper()}){_GAP}(?:nr\.?[ ~])?\d{{1,4}}(?!\d)(?:[ ~]?[A-Za-z](?![\w~]))?")
@@ -131,9 +133,9 @@ def candidates(text: str) -> list[Span]:
     """Candidate spans of all kinds with the features of the whole span and of its surroundings."""
     out: list[Span] = []
     for m in _AT.finditer(text) if "@" in text or any(sign in text for sign in _AT_SIGNS) else ():
-        local = _LOCAL.search(text, max(0, m.start() - 90), m.start())
         domain = _DOMAIN.match(text, m.end())
-        if local and domain and (m[0] != "@" or not local[0].endswith((" ", "~"))):
+        local = domain and (_users(text, m.start()) or _LOCAL.search(text, max(0, m.start() - 90), m.start()))
+        if local and (m[0] != "@" or not local[0].endswith((" ", "~"))):
             host = domain[0].lower()
             f = ["email:" + ("plain" if m[0] == "@" else "disguised"), "email:dot" if "." in host or "dot" in host else "email:nodot"]
             if local[0].startswith(("\\{", "{")):
@@ -158,6 +160,15 @@ def candidates(text: str) -> list[Span]:
     return out
 
 
+def _users(text: str, at: int) -> re.Match | None:
+    """The bracketed list of users that ends at ``at``, from its opening bracket, however long."""
+    end = _LIST_END.search(text, max(0, at - 3), at)
+    begin = text.rfind("{", text.rfind("}", 0, end.start()) + 1, end.start()) if end else -1
+    if begin < 0:
+        return None
+    return _LIST.fullmatch(text, begin - (text[begin - 1 : begin] == "\\"), at)
+
+
 def _zones(text: str) -> list[tuple[int, int]]:
     """Where names are authors: ``\\author`` with its braces, and bibliography items up to a blank line."""
     out = []

@@ -120,6 +120,14 @@ def test_several_numbers_in_one_run():
         assert [text[a:b] for a, b, _ in find(text, WEIGHTS)] == want, text
 
 
+def test_long_and_broken_lists_of_users():
+    users = "anna.lindqvist, erik.bergstrom, maria.sandberg, nils.ekdahl, karin.holmgren, lars.dahlberg"
+    for value in (f"\\{{{users}\\}}@uni.example", "\\{k\\_lund, anna\\}@uni.example", "{anna,\n  berg}@uni.example", f"{{{users},\r\n% {users}}}@lab.uni.example", "\\{anna, berg\\}@uni.example"):
+        text = f"Mail {value} {{\\bf now}}."
+        assert [text[a:b] for a, b, _ in find(text, WEIGHTS)] == [value]
+    assert find("{one\n\ntwo}@uni.example and }@uni.example", WEIGHTS) == [] == find("{" + "}@" * 100_000, WEIGHTS)
+
+
 def test_find_and_mask_personal(spark):
     rows = [(1, "Questions go to \\{anna, berg\\}@lab.example.net.", "k"), (2, None, "k"), (3, "", "k"), (None, "tel.~+46 31 390 06 28.", "k")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
