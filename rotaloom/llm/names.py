@@ -1,4 +1,4 @@
-"""Variant spellings of names: token q-gram join, verified by soft weighted token similarity."""
+"""Variant spellings of names: words joined by left-out letters, verified by soft weighted token similarity."""
 
 from __future__ import annotations
 
@@ -6,11 +6,10 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rotaloom.llm.setsim import grams, similarity_join
 from rotaloom.llm.spelling import typos, unaccented, unread
 from rotaloom.session import cut_lineage
 
@@ -127,7 +126,7 @@ def _compare(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.D
     return pd.DataFrame([compare(list(a), list(x), list(b), list(y)) for a, x, b, y in zip(ta, wa, tb, wb)], columns=["kind", "more_a", "more_b"])
 
 
-def name_links(names: DataFrame, threshold: float = 0.3) -> DataFrame:
+def name_links(names: DataFrame) -> DataFrame:
     """Pairs of spellings within a group that mean the same person, family or organisation.
 
     ``names``: ``scope`` (names are compared within it) and ``name``; further columns are ignored.
@@ -135,9 +134,12 @@ def name_links(names: DataFrame, threshold: float = 0.3) -> DataFrame:
     names without letters, have no links. Repeated rows count once.
 
     Each distinct name becomes tokens (company forms, titles and remarks aside). A token's weight is the
-    logarithm of how few distinct names hold it, over all names. Tokens of one scope with similar
-    letter pairs are found by the prefix-filtered set-similarity join; names that share similar tokens
-    among their two rarest, or are equal when written together, are candidates, never all pairs of a
+    logarithm of how few distinct names hold it, over all names. Words of one scope within the edits
+    that ``token_similarity`` accepts are found by their forms with as many letters left out,
+    abbreviations by their first letters. As every word of one of the two names must match a word of
+    the other, and at most as many match an initial as the other has, names are candidates if one of
+    those rarest words of one is similar to any word of the other, or if they are equal when written
+    together; never all pairs of a
     scope. A candidate is verified by aligning the tokens: each must match a token of the other (typo,
     initial, abbreviation, short form of a given name), and words left over on both sides mean different
     customers. Two names that both match a third word for word are linked too, as each may have typos of
@@ -156,18 +158,19 @@ def name_links(names: DataFrame, threshold: float = 0.3) -> DataFrame:
     known = weighted.groupBy("scope", "_id").agg(listed.alias("_l")).select("scope", "_id", F.transform("_l", lambda x: x["_t"]).alias("_tk"), F.transform("_l", lambda x: x["_w"]).alias("_wt"))
     known = cut_lineage(known)
 
-    rare = F.slice(F.reverse(F.array_sort(F.filter(F.arrays_zip(F.col("_wt").alias("w"), F.col("_tk").alias("t")), lambda x: F.length(x["t"]) > 1))), 1, 2)
-    together = F.regexp_replace(F.array_join("_tk", ""), "[=.]", "")
-    signs = F.array_union(F.transform(rare, lambda x: F.regexp_replace(x["t"], "[.]", "")), F.array(together))
-    signed = known.select("scope", "_id", F.explode(signs).alias("_s"))
-    single = known.select("scope", F.explode(rare).alias("_r")).select("scope", F.regexp_replace("_r.t", "[.]", "").alias("id"))
-    words = cut_lineage(single.distinct().withColumn("tokens", grams(F.col("id"))))
-    similar = similarity_join(words, None, ["scope"], threshold).select("scope", "left_id", "right_id")
-    same = signed.select("scope", F.col("_s").alias("left_id"), F.col("_s").alias("right_id")).distinct()
-    similar = similar.unionByName(same).unionByName(_abbreviated(words))
-    a = signed.select("scope", F.col("_s").alias("left_id"), F.col("_id").alias("_x"))
-    b = signed.select("scope", F.col("_s").alias("right_id"), F.col("_id").alias("_y"))
-    ids = similar.join(a, ["scope", "left_id"]).join(b, ["scope", "right_id"]).where("_x != _y")
+    long = F.reverse(F.array_sort(F.filter(F.arrays_zip(F.col("_wt").alias("w"), F.col("_tk").alias("t")), lambda x: F.length(x["t"]) > 1)))
+    initials = F.size(F.filter("_tk", lambda t: (F.length(t) == 1) & (t != "=")))
+    keyed = known.select("scope", "_id", initials.alias("_initials"), F.posexplode(long).alias("_rank", "_r"))
+    keyed = cut_lineage(keyed.select("scope", "_id", "_initials", "_rank", F.col("_r.t").alias("_t"), F.regexp_replace("_r.t", "[.]", "").alias("_s")))
+    words = keyed.select("scope", F.col("_s").alias("id")).distinct()
+    same = words.select("scope", F.col("id").alias("left_id"), F.col("id").alias("right_id"))
+    similar = _misspelled(words).unionByName(_abbreviated(keyed.where("_t like '%.%'").select("scope", "_t", F.col("_s").alias("left_id")).distinct(), words))
+    similar = similar.unionByName(similar.select("scope", F.col("left_id").alias("right_id"), F.col("right_id").alias("left_id"))).distinct().unionByName(same)
+    a = keyed.select("scope", F.col("_s").alias("left_id"), F.col("_id").alias("_x"), "_rank")
+    b = keyed.select("scope", F.col("_s").alias("right_id"), F.col("_id").alias("_y"), "_initials")
+    ids = similar.join(a, ["scope", "left_id"]).join(b, ["scope", "right_id"]).where("_x != _y and _rank <= _initials").select("scope", "_x", "_y")
+    together = known.select("scope", "_id", F.translate(F.regexp_replace(F.array_join("_tk", ""), "[=.]", ""), "1i", "ll").alias("_s"))
+    ids = ids.unionByName(together.withColumnRenamed("_id", "_x").join(together.withColumnRenamed("_id", "_y"), ["scope", "_s"]).where("_x < _y").select("scope", "_x", "_y"))
     ids = ids.select("scope", F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
     left = known.select("scope", F.col("_id").alias("_x"), F.col("_tk").alias("_ta"), F.col("_wt").alias("_wa"))
     right = known.select("scope", F.col("_id").alias("_y"), F.col("_tk").alias("_tb"), F.col("_wt").alias("_wb"))
@@ -186,9 +189,41 @@ def name_links(names: DataFrame, threshold: float = 0.3) -> DataFrame:
     return links.select("scope", F.least("_nx", "_ny").alias("name_a"), F.greatest("_nx", "_ny").alias("name_b")).distinct()
 
 
-def _abbreviated(words: DataFrame) -> DataFrame:
-    """Word pairs of a scope that begin with the same three letters: abbreviations have too few letter pairs."""
-    head = words.where(F.length("id") >= 3).select("scope", F.substring("id", 1, 3).alias("_h"), "id")
-    short = head.where(F.length("id") <= 9)
-    pairs = short.withColumnRenamed("id", "left_id").join(head.withColumnRenamed("id", "right_id"), ["scope", "_h"])
-    return pairs.where((F.col("right_id") != F.col("left_id")) & F.col("right_id").startswith(F.col("left_id"))).select("scope", F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"))
+@F.pandas_udf(T.BooleanType())
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([typos(x, y, 2) <= 2 for x, y in zip(a, b)], dtype=bool)
+
+
+def _cuts(text: Column) -> Column:
+    """``text`` whole and with any one letter left out."""
+    return F.array_union(F.array(text), F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))))
+
+
+def _misspelled(words: DataFrame) -> DataFrame:
+    """Word pairs of a scope within the edits of ``token_similarity``: one from 3 letters on, two from 6 on.
+
+    Words so many edits apart (swaps included) are equal after leaving out as many letters on each side."""
+    read = F.when(F.col("id").contains("1"), F.array(F.translate("id", "1", "i"), F.translate("id", "1", "l"))).otherwise(F.array("id"))
+    each = words.where(F.length("id") >= 3).select("scope", "id", F.explode(read).alias("_f"))
+    once = each.select("scope", "id", _cuts(F.col("_f")).alias("_c"))
+    left_out = F.when(F.length("id") >= 6, F.array_distinct(F.flatten(F.transform("_c", _cuts)))).otherwise(F.col("_c"))
+    keys = once.select("scope", "id", F.explode(F.transform(left_out, lambda c: F.xxhash64(c))).alias("_k"))
+    met = keys.groupBy("scope", "_k").agg(F.collect_set("id").alias("_ids")).where(F.size("_ids") > 1)
+    pairs = met.select("scope", "_ids", F.explode("_ids").alias("left_id")).select("scope", "left_id", F.explode("_ids").alias("right_id"))
+    return pairs.where("left_id < right_id").distinct().where(_near("left_id", "right_id"))
+
+
+def _abbreviated(dotted: DataFrame, words: DataFrame) -> DataFrame:
+    """Abbreviations (``_t`` with its dots, ``left_id`` without) and the words of their scope that begin alike.
+
+    From four letters on one of them may be wrong, so the first four are compared with one left out; a
+    shorter one, or one with a dot inside, must begin as the word does.
+    """
+    start = lambda c, n: F.concat(F.lit(f"{n}:"), F.substring(c, 1, n))
+    fours = lambda c: F.transform(_cuts(F.substring(c, 1, 4)), lambda x: F.concat(F.lit("c:"), x))
+    head = F.split_part("_t", F.lit("."), F.lit(1))
+    inside = F.col("_t").rlike("[.].")
+    own = F.when(~inside & (F.length("left_id") >= 4), fours("left_id")).when(F.length(head) >= 2, F.array(start(head, 2))).otherwise(F.array(start(head, 1)))
+    short = dotted.select("scope", "left_id", F.explode(own).alias("_k"))
+    every = words.select("scope", F.col("id").alias("right_id"), F.explode(F.concat(fours("id"), F.array(start("id", 2), start("id", 1)))).alias("_k"))
+    return short.join(every, ["scope", "_k"]).where("left_id != right_id").select("scope", "left_id", "right_id").distinct()

@@ -79,6 +79,13 @@ def test_name_links_edges(spark):
     assert name_links(df.limit(0)).count() == 0
 
 
+def test_names_that_share_only_their_commonest_word(spark):
+    hot = [(9, f"{g} Andersson") for g in ("Berit", "Doris", "Ester", "Gerda", "Hedda", "Irma")]
+    rows = hot + [(1, "Fru Andersson"), (1, "Anna Karin Andersson"), (1, "A. K. Andersson"), (2, "Lyktans"), (2, "Lykatn Transport AB"), (3, "Fyrbåk Kosn."), (3, "Fyrbåk Konsult HB")]
+    got = {(r.scope, r.name_a, r.name_b) for r in name_links(spark.createDataFrame(rows, "scope int, name string")).collect()}
+    assert got == {(1, "Anna Karin Andersson", "Fru Andersson"), (1, "A. K. Andersson", "Fru Andersson"), (1, "A. K. Andersson", "Anna Karin Andersson"), (2, "Lykatn Transport AB", "Lyktans"), (3, "Fyrbåk Konsult HB", "Fyrbåk Kosn.")}
+
+
 def test_a_large_scope_emits_no_pairs_of_strangers(spark):
     rows = [(1, f"Anna {a}{b}") for a in ("Berg", "Lind", "Ek", "Sten", "Ros", "Alm") for b in ("hjelm", "quarn", "torpe", "klintz", "bolander")]
     df = spark.createDataFrame(rows, "scope int, name string")
