@@ -6,10 +6,11 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rotaloom.llm.names import _cuts
 from rotaloom.llm.setsim import best_match, grams, similarity_join
 from rotaloom.llm.spelling import typos, unaccented, unread
 from rotaloom.session import cut_lineage
@@ -123,6 +124,20 @@ def _closeness(labels: pd.Series, entries: pd.Series) -> pd.Series:
     return pd.Series([closeness(a, b) for a, b in zip(labels, entries)])
 
 
+def _beginnings(form: Column, dotted: Column) -> Column:
+    """Keys that a label shares with an entry it abbreviates, cuts off or misspells: the first letter if
+    it has dots, its first four letters with one left out, all letters (up to 15) with as many left out
+    as edits are allowed."""
+    bare = F.substring(F.regexp_replace(F.substring(form, 1, 200), "[. ]", ""), 1, 16)  # longer ones only need their beginning
+    read = F.when(bare.contains("1"), F.array(F.translate(bare, "1", "i"), F.translate(bare, "1", "l"))).otherwise(F.array(bare))
+    size = F.length(bare)
+    once = F.flatten(F.transform(read, _cuts))
+    out = F.when(size.between(6, 15), F.flatten(F.transform(once, _cuts))).when(size.between(4, 5), once).otherwise(F.array().cast("array<string>"))
+    four = F.flatten(F.transform(read, lambda t: F.transform(_cuts(F.substring(t, 1, 4)), lambda x: F.concat(F.lit("4:"), x))))
+    first = F.when(dotted, F.array(F.concat(F.lit("1:"), F.substring(bare, 1, 1)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(out, F.when(size >= 4, four).otherwise(F.array().cast("array<string>")), first))
+
+
 def map_labels(values: DataFrame, entries: DataFrame, aliases: dict[str, list[str]] = ALIASES, threshold: float = 0.25) -> DataFrame:
     """The entry of a canonical list that each freely typed value stands for.
 
@@ -132,8 +147,10 @@ def map_labels(values: DataFrame, entries: DataFrame, aliases: dict[str, list[st
     close the least entry_id wins. An empty list gives 0 for every value.
 
     Distinct values and entries (with their ``aliases``) become sets of letter pairs that are joined by
-    the prefix filter at a Jaccard similarity of ``threshold`` — low, so that abbreviations are
-    candidates — and each candidate is verified by edit distance or as an abbreviation. Values are
+    the prefix filter at a Jaccard similarity of ``threshold``, which three edits in 14 letters reach;
+    abbreviations, cut-off labels and typos in shorter ones may not, so they are also joined by their
+    beginnings and by left-out letters. Each candidate is verified by edit distance or as an
+    abbreviation. Values are
     counted out before the join, so a hot value costs one row.
     """
     values = values.where(F.col("value").isNotNull()).select("value").distinct().select("value", _plain.asNondeterministic()("value").alias("form"))
@@ -146,7 +163,9 @@ def map_labels(values: DataFrame, entries: DataFrame, aliases: dict[str, list[st
     listed = named.select("entry_id", F.col("entry").alias("name")).unionByName(named.join(other, "entry").select("entry_id", F.col("alias").alias("name")))
     listed = listed.where(F.col("name").isNotNull() & F.col("entry_id").isNotNull()).select("entry_id", _plain("name").alias("name")).groupBy("name").agg(F.min("entry_id").alias("entry_id"))
     sets = listed.select(F.col("name").alias("id"), grams(letters("name")).alias("tokens"))
-    pairs = similarity_join(forms, sets, [], threshold)
+    begun = forms.select(F.col("id").alias("left_id"), F.explode(_beginnings(F.col("id"), F.col("id").contains("."))).alias("_k"))
+    entered = sets.select(F.col("id").alias("right_id"), F.explode(_beginnings(F.col("id"), F.lit(True))).alias("_k"))
+    pairs = similarity_join(forms, sets, [], threshold).select("left_id", "right_id").unionByName(begun.join(entered, "_k").select("left_id", "right_id")).distinct()
     scored = pairs.withColumn("score", _closeness("left_id", "right_id")).where("score > 0")
     scored = scored.join(listed.select(F.col("name").alias("right_id"), "entry_id"), "right_id")
     best = best_match(scored, ["left_id"], "score", "entry_id").select(F.col("left_id").alias("form"), "entry_id", "score")

@@ -56,6 +56,13 @@ def test_map_labels_edges(spark):
     assert map_labels(df.limit(0), entries).count() == 0
 
 
+def test_short_abbreviations_and_typos_are_candidates(spark):
+    entries = spark.createDataFrame([(1, "Instruktörsutbildning"), (2, "Graffitiborttagning"), (3, "Utvecklingssamtal"), (4, "Flyttstädning"), (5, "Matrast"), (6, "Golvvård")], "entry_id int, entry string")
+    values = {"Instr.": 1, "Graff.": 2, "Utv.": 3, "U.saml.": 0, "I.utb.": 1, "Flyyts...": 4, "amtrats": 5, "oglvvrad": 6, "Bowling": 0}
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    assert {r.value: r.entry_id for r in map_labels(df, entries).collect()} == values
+
+
 def kind(a, b):
     ta, tb = name_tokens(a), name_tokens(b)
     return compare(list(ta), [5.0] * len(ta), list(tb), [5.0] * len(tb))[0]
