@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +34,41 @@ def build_session(master: str = "local[*]", app: str = "rotaloom", shuffle_parti
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written as a compressed table in the shared folder and read again.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset (tests on one
-    machine) a temporary folder is used. The table outlives executors; ``drop_table`` deletes one that
-    is no longer read, ``clear_work`` all of the session.
+    The folder is ``spark.checkpoint.dir`` of the session. The table outlives executors; ``drop_table``
+    deletes one that is no longer read, ``scratch`` those made inside it, ``clear_work`` all of the session.
     """
     spark = df.sparkSession
     path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _SCRATCH:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``cut_lineage`` makes inside the block when the block ends; results that read
+    them must be written by then."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
 def _work_folder(spark: SparkSession) -> str:
+    """The session's folder; a temporary one only where driver and tasks are one process, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/rotaloom-{spark.sparkContext.applicationId}"
 
@@ -66,12 +92,17 @@ def clear_work(spark: SparkSession) -> None:
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """``spark`` with this package on the path of its Python workers (they may start elsewhere)."""
-    from pathlib import Path
-
-    home = str(Path(__file__).resolve().parent.parent)
-    environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(":") if p]
-    if home not in paths:
-        environment["PYTHONPATH"] = ":".join([home, *paths])
+    """``spark`` with this package sent to its Python workers, once a session, by Spark's own file server."""
+    context = spark.sparkContext
+    if _SENT.get("to") != context.applicationId:
+        home = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp()) / "rotaloom.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(home.rglob("*.py")):
+                z.write(source, str(source.relative_to(home.parent)))
+        context.addPyFile(str(archive))
+        _SENT["to"] = context.applicationId
     return spark
+
+
+_SENT: dict[str, str] = {}
