@@ -3,64 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rotaloom.llm.names import _cuts
-from rotaloom.llm.setsim import best_match, grams, similarity_join
+from rotaloom.llm.gazetteer import FILLERS, GLOSSARY
+from rotaloom.llm.setsim import best_match, edit_join, overlap_join, similarity_join, word_grams
 from rotaloom.llm.spelling import typos, unaccented, unread
 from rotaloom.session import cut_lineage
 
-#: Other words for the entries of the label list (an entry's own words in another order, or in English).
-ALIASES = {
-    "Veckostädning": ["städ varje vecka", "weekly clean"],
-    "Flyttstädning": ["städ vid flytt", "moving out clean"],
-    "Trappstädning": ["trapphus städ", "stairwell clean"],
-    "Golvvård": ["golv bonvax", "floor care"],
-    "Fönstertvätt": ["tvätt av fönster", "window wash"],
-    "Kontorsrunda": ["runda på kontoret", "office round"],
-    "Byggrengöring": ["rengöring efter bygge", "construction clean"],
-    "Mattschamponering": ["schamponering av mattor", "carpet shampoo"],
-    "Hemassistans": ["assistans i hemmet", "home assistance"],
-    "Matinköp": ["inköp av mat", "grocery run"],
-    "Strykservice": ["stryka kläder", "ironing"],
-    "Ugnssanering": ["sanering av ugn", "oven degrease"],
-    "Frysavfrostning": ["avfrosta frysen", "freezer defrost"],
-    "Skolmatsal": ["matsal i skola", "school canteen"],
-    "Trädgårdshjälp": ["hjälp i trädgården", "garden help"],
-    "Dödsbotömning": ["tömning av dödsbo", "estate clearance"],
-    "Graffitiborttagning": ["ta bort klotter", "graffiti removal"],
-    "Garantibesök": ["besök enligt garanti", "warranty visit"],
-    "Uppstartsbesök": ["första besöket", "kickoff visit"],
-    "Högtryckstvätt": ["tvätt med högtryck", "pressure wash"],
-    "Resa mellan uppdrag": ["mellan uppdrag resa", "drive between jobs"],
-    "Körning till lager": ["till lager körning", "depot drive"],
-    "Bilhämtning": ["hämta bilen", "car pickup"],
-    "Instruktörsutbildning": ["utbildning för instruktörer", "trainer course"],
-    "Kemikaliekurs": ["kurs i kemikalier", "chemicals course"],
-    "Brandövning": ["övning brand", "fire drill"],
-    "Matrast": ["rast för mat", "meal break"],
-    "Kaffepaus": ["paus med kaffe", "coffee break"],
-    "Veckoavstämning": ["avstämning för veckan", "weekly sync"],
-    "Utvecklingssamtal": ["samtal om utveckling", "appraisal talk"],
-    "Planeringsmöte": ["möte om planering", "planning meeting"],
-    "Nyckelkvittens": ["kvittens för nycklar", "key receipt"],
-    "Materialbeställning": ["beställa material", "supply order"],
-    "Tidrapportering": ["rapportera tid", "timesheet"],
-    "Förrådsinventering": ["inventera förrådet", "stock count"],
-    "Sjukanmälan": ["anmäld sjuk", "sick call"],
-    "Anhörigvård": ["vård av anhörig", "family care"],
-    "Semesterdag": ["dag med semester", "semester", "vacation"],
-    "Föräldraledig": ["ledig som förälder", "parental leave"],
-    "Inställt uppdrag": ["uppdrag inställt", "job called off"],
-    "Spärrad tid": ["tid spärrad", "blocked time"],
-    "Jourberedskap": ["beredskap jour", "on call standby"],
-}
-
 _LEAD = re.compile(r"^(?:[^\w(]+|(?:typ|uppdrag|jobb|pass|label|etikett)\s*[:–—-]\s*)+", re.I)
 _TRAIL = re.compile(r"(?:\s+\d+\s*h\s*\d*\s*m?(?:in)?|\s+\d+\s*m(?:in)?|\s+\d+(?:\s+\d+)*|\s*\((?:ny|ej klar|ändrad)\)|\s*(?:\.{3,}|…)|[\s?!,;:–—-]+)$", re.I)
 
@@ -124,49 +79,82 @@ def _closeness(labels: pd.Series, entries: pd.Series) -> pd.Series:
     return pd.Series([closeness(a, b) for a, b in zip(labels, entries)])
 
 
-def _beginnings(form: Column, dotted: Column) -> Column:
-    """Keys that a label shares with an entry it abbreviates, cuts off or misspells: the first letter if
-    it has dots, its first four letters with one left out, all letters (up to 15) with as many left out
-    as edits are allowed."""
-    bare = F.substring(F.regexp_replace(F.substring(form, 1, 200), "[. ]", ""), 1, 16)  # longer ones only need their beginning
-    read = F.when(bare.contains("1"), F.array(F.translate(bare, "1", "i"), F.translate(bare, "1", "l"))).otherwise(F.array(bare))
-    size = F.length(bare)
-    once = F.flatten(F.transform(read, _cuts))
-    out = F.when(size.between(6, 15), F.flatten(F.transform(once, _cuts))).when(size.between(4, 5), once).otherwise(F.array().cast("array<string>"))
-    four = F.flatten(F.transform(read, lambda t: F.transform(_cuts(F.substring(t, 1, 4)), lambda x: F.concat(F.lit("4:"), x))))
-    first = F.when(dotted, F.array(F.concat(F.lit("1:"), F.substring(bare, 1, 1)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(out, F.when(size >= 4, four).otherwise(F.array().cast("array<string>")), first))
+@F.pandas_udf(T.IntegerType())
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([typos(x, y, 2) for x, y in zip(a, b)], dtype="int32")
+
+
+def glossary_table(like: DataFrame, words: Mapping[str, str] | None = None) -> DataFrame:
+    """A table of other words (``word``, ``senses``: array) for ``map_labels``; by default the built-in list."""
+    rows = [(plain(w), [plain(x) for x in senses.split("|")]) for w, senses in (GLOSSARY if words is None else words).items()]
+    return like.sparkSession.createDataFrame(rows, "word string, senses array<string>")
 
 
-def map_labels(values: DataFrame, entries: DataFrame, aliases: dict[str, list[str]] = ALIASES, threshold: float = 0.25) -> DataFrame:
+def _told(forms: DataFrame, glossary: DataFrame) -> DataFrame:
+    """The readings of each form: ``form``, ``words`` (as typed, and with each word's n-th sense put in).
+
+    A typed word counts as the nearest glossary words within one edit from four letters on, two from eight
+    on, with the senses of all that are equally near. Words that say nothing are left out.
+    """
+    split = forms.select("form", F.posexplode(F.filter(F.split("form", "[ .]"), lambda w: w != "")).alias("_at", "_w")).where(~F.col("_w").isin({plain(w) for w in FILLERS}))
+    known = glossary.where(F.col("word").isNotNull() & (F.size("senses") > 0)).groupBy("word").agg(F.first("senses").alias("senses"))
+    typed = split.select(F.col("_w").alias("id")).distinct()
+    most = lambda w: F.when(F.length(w) < 4, 0).when(F.length(w) < 8, 1).otherwise(2)
+    near = edit_join(typed.where(F.length("id") > 3), known.select(F.col("word").alias("id")).where(F.length("id") > 3), [], most)
+    near = near.withColumn("_d", _edits("left_id", "right_id")).where(F.col("_d") <= F.least(most(F.col("left_id")), most(F.col("right_id"))))
+    same = typed.join(known.select(F.col("word").alias("id")), "id").select(F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.lit(0).alias("_d"))
+    least = near.unionByName(same).groupBy("left_id").agg(F.min("_d").alias("_least"))
+    meant = near.unionByName(same).join(least, "left_id").where("_d = _least").join(known, F.col("right_id") == known.word)
+    meant = meant.groupBy(F.col("left_id").alias("_w")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("word", "senses"))), lambda x: x["senses"])).alias("senses"))
+    words = split.join(meant, "_w", "left").groupBy("form").agg(F.array_sort(F.collect_list(F.struct("_at", "_w", "senses"))).alias("_l"))
+    senses = F.array_max(F.transform("_l", lambda x: F.greatest(F.size(x["senses"]), F.lit(0))))
+    sense = lambda n: F.transform("_l", lambda x: F.when(F.size(x["senses"]) > 0, F.get(x["senses"], F.least(n, F.size(x["senses"]) - 1))).otherwise(x["_w"]))
+    read = F.transform(F.sequence(F.lit(0), F.greatest(senses, F.lit(0))), lambda n: F.when(n == 0, F.transform("_l", lambda x: x["_w"])).otherwise(sense(n - 1)))
+    return words.select("form", F.posexplode(F.array_distinct(read)).alias("reading", "words"))
+
+
+def map_labels(values: DataFrame, entries: DataFrame, glossary: DataFrame | None = None, threshold: float = 0.4, floor: float = 0.25) -> DataFrame:
     """The entry of a canonical list that each freely typed value stands for.
 
-    ``values``: column ``value``; ``entries``: ``entry_id`` and ``entry``; other columns are ignored.
-    Result: ``value`` (distinct, exactly as typed), ``entry_id`` (0: none), ``score``. Null values are
-    left out; values without a letter get 0. Repeated values and entries count once. Of entries equally
-    close the least entry_id wins. An empty list gives 0 for every value.
-
-    Distinct values and entries (with their ``aliases``) become sets of letter pairs that are joined by
-    the prefix filter at a Jaccard similarity of ``threshold``, which three edits in 14 letters reach;
-    abbreviations, cut-off labels and typos in shorter ones may not, so they are also joined by their
-    beginnings and by left-out letters. Each candidate is verified by edit distance or as an
-    abbreviation. Values are
-    counted out before the join, so a hot value costs one row.
+    ``values``: column ``value``; ``entries``: ``entry_id`` and ``entry``; ``glossary``: ``word`` and
+    ``senses`` (plain words; default: ``glossary_table``); other columns are ignored. Result: ``value``
+    (distinct, exactly as typed), ``entry_id`` (0: none), ``score``. Null values are left out; values
+    without a letter get 0. Repeated values and entries count once. Of entries equally close the least
+    entry_id wins. An empty list gives 0 for every value.
+
+    Distinct values, in each reading that the glossary gives, and entries become sets of the letter pairs
+    of their words, so that order and compounding don't matter. Sets are joined by the prefix filter at a
+    Jaccard similarity of ``floor``; forms within the tolerated edits, and forms of which an entry holds
+    all letter pairs but three (abbreviations and cut-off labels), are joined by the same filter with
+    those bounds, as short ones may lie below ``floor``. Jaccard is computed exactly for every candidate;
+    it stands if it reaches ``threshold`` or is the entry but for typos, dots or a missing end
+    (``closeness``). The best by Jaccard is kept, an entry with typos before another wording. Values are counted out before the join, so a hot value
+    costs one row.
     """
     values = values.where(F.col("value").isNotNull()).select("value").distinct().select("value", _plain.asNondeterministic()("value").alias("form"))
     values = cut_lineage(values)  # one row for each spelling; read several times below
-    letters = lambda c: F.regexp_replace(c, r"[. ]", "")
-    forms = values.select("form").distinct().select(F.col("form").alias("id"), grams(letters("form")).alias("tokens"))
-    spark = entries.sparkSession
-    other = spark.createDataFrame([(e, a) for e, names in aliases.items() for a in names], "entry string, alias string")
-    named = entries.select(F.col("entry_id").cast("int"), "entry")
-    listed = named.select("entry_id", F.col("entry").alias("name")).unionByName(named.join(other, "entry").select("entry_id", F.col("alias").alias("name")))
-    listed = listed.where(F.col("name").isNotNull() & F.col("entry_id").isNotNull()).select("entry_id", _plain("name").alias("name")).groupBy("name").agg(F.min("entry_id").alias("entry_id"))
-    sets = listed.select(F.col("name").alias("id"), grams(letters("name")).alias("tokens"))
-    begun = forms.select(F.col("id").alias("left_id"), F.explode(_beginnings(F.col("id"), F.col("id").contains("."))).alias("_k"))
-    entered = sets.select(F.col("id").alias("right_id"), F.explode(_beginnings(F.col("id"), F.lit(True))).alias("_k"))
-    pairs = similarity_join(forms, sets, [], threshold).select("left_id", "right_id").unionByName(begun.join(entered, "_k").select("left_id", "right_id")).distinct()
-    scored = pairs.withColumn("score", _closeness("left_id", "right_id")).where("score > 0")
-    scored = scored.join(listed.select(F.col("name").alias("right_id"), "entry_id"), "right_id")
-    best = best_match(scored, ["left_id"], "score", "entry_id").select(F.col("left_id").alias("form"), "entry_id", "score")
+    forms = values.select("form").distinct()
+    told = cut_lineage(_told(forms, glossary_table(values) if glossary is None else glossary))
+    read = told.select(F.struct("form", "reading").alias("id"), word_grams(F.col("words")).alias("tokens"))
+    listed = entries.where(F.col("entry").isNotNull() & F.col("entry_id").isNotNull()).select(F.col("entry_id").cast("int").alias("entry_id"), _plain("entry").alias("name"))
+    listed = listed.groupBy("name").agg(F.min("entry_id").alias("entry_id"))
+    sets = listed.select(F.col("name").alias("id"), word_grams(F.filter(F.split("name", "[ .]"), lambda w: (w != "") & ~w.isin({plain(x) for x in FILLERS}))).alias("tokens"))
+    alike = similarity_join(read, sets, [], floor).select(F.col("left_id.form").alias("form"), F.col("right_id").alias("name"))
+
+    bare = lambda df, c: df.select(F.col(c).alias("_o"), F.regexp_replace(c, "[. ]", "").alias("id")).where("id != ''")
+    typed, wanted = bare(forms, "form"), bare(listed, "name")
+    near = edit_join(typed.select("id").distinct(), wanted.select("id").distinct(), [], lambda w: F.when(F.length(w) < 4, 0).when(F.length(w) < 6, 1).when(F.length(w) < 14, 2).otherwise(3))
+    once = lambda df: df.select("id", word_grams(F.array("id")).alias("tokens")).distinct()
+    begun = overlap_join(once(typed), once(wanted), [], lambda nl, nr: F.greatest(nl - 3, F.lit(1)), lambda _: F.lit(4), lambda n: n)
+    pairs = near.unionByName(begun.select("left_id", "right_id")).join(typed.withColumnsRenamed({"id": "left_id", "_o": "form"}), "left_id")
+    pairs = pairs.join(wanted.withColumnsRenamed({"id": "right_id", "_o": "name"}), "right_id").select("form", "name")
+    pairs = alike.unionByName(pairs).distinct()
+
+    own = read.select(F.col("id.form").alias("form"), "tokens").groupBy("form").agg(F.collect_set("tokens").alias("_readings"))
+    met = pairs.join(own, "form", "left").join(sets.select(F.col("id").alias("name"), F.col("tokens").alias("_entry")), "name")
+    shared = lambda t: F.size(F.array_intersect(t, "_entry"))
+    jaccard = F.coalesce(F.array_max(F.transform("_readings", lambda t: shared(t) / F.greatest(F.size(t) + F.size("_entry") - shared(t), F.lit(1)))), F.lit(0.0))
+    judged = met.select("form", "name", jaccard.alias("score"), _closeness("form", "name").alias("_close")).where((F.col("score") >= threshold) | (F.col("_close") > 0))
+    judged = judged.withColumn("_rank", F.struct(F.col("_close") > 0, "score", "_close")).join(listed, "name")
+    best = best_match(judged, ["form"], "_rank", "entry_id").select("form", "entry_id", "score")
     return values.join(best, "form", "left").select("value", F.coalesce("entry_id", F.lit(0)).alias("entry_id"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -1,37 +1,33 @@
-"""Variant spellings of names: words joined by left-out letters, verified by soft weighted token similarity."""
+"""Variant spellings of names: set-similarity join on q-grams of tokens, soft weighted token similarity."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rotaloom.llm.gazetteer import FIRM_WORDS, NICKNAMES
+from rotaloom.llm.setsim import edit_join, grams, overlap_join
 from rotaloom.llm.spelling import typos, unaccented, unread
 from rotaloom.session import cut_lineage
 
 #: Forms of companies, and forms of address, which don't tell customers apart.
-LEGAL = {"ab", "hb", "kb", "ek", "publ", "aktiebolag", "aktiebolaget", "handelsbolag", "kommanditbolag", "inc", "ltd", "gmbh"}
+LEGAL = {"ab", "hb", "kb", "publ", "aktiebolag", "aktiebolaget", "handelsbolag", "kommanditbolag", "inc", "ltd", "gmbh"}
 TITLES = {"hr", "herr", "fr", "fru", "frk", "froken", "fam", "familjen", "familj", "mr", "mrs", "ms", "dr"}
 #: Remarks written behind a name.
 REMARKS = {"stadning", "stad", "stadservice", "hund", "kod", "ny", "nyckel", "larm"}
-#: Short forms of given names.
-NICKNAMES = {
-    "alex": "alexander", "bart": "bartolomeus", "gittan": "birgitta", "lotta": "charlotta", "dessi": "desiree",
-    "lisbet": "elisabet", "fredde": "fredrik", "nilla": "gunilla", "inga": "ingegerd", "hannes": "johannes",
-    "fina": "josefina", "kattis": "katarina", "stina": "kristina", "stoffe": "kristoffer", "lelle": "lennart",
-    "lena": "magdalena", "maggan": "margareta", "matte": "mattias", "tilly": "ottilia", "ricke": "rickard",
-    "sebbe": "sebastian", "sussi": "susanna", "tobbe": "torbjorn", "ulla": "ulrika", "vickan": "viktoria",
-    "xeni": "xenia", "zacke": "zakarias", "byggnads": "bygg",
-}
-
 _REMARK = re.compile(r"\((?!publ)[^)]*\)|\b\d+\s*(?:h|min|m)\b(?:\s*\d+\s*m(?:in)?\b)?|[!?*#]+")
 _CAMEL = re.compile(r"(?<=[a-zåäöéüø])(?=[A-ZÅÄÖ][a-zåäöéüø])")
 
 
+_COOPERATIVE = re.compile(r"\bek(?:onomisk)?\.? ?f[oö]r(?:ening)?\b\.?")
+
+
 @lru_cache(100_000)
 def name_tokens(name: str | None) -> tuple[str, ...]:
     """The tokens of a name that tell customers apart; an abbreviated token keeps its dot.
@@ -43,6 +39,7 @@ def name_tokens(name: str | None) -> tuple[str, ...]:
         return ()
     text = _REMARK.sub(" ", _CAMEL.sub(" ", unread(" ".join(name.split()))))
     text = unaccented(text).lower().replace("a.b.", "ab").replace("h.b.", "hb")
+    text = _COOPERATIVE.sub(" ", text)
     words = [w for w in re.sub(r"[^\w.]+", " ", text).split() if any(c.isalnum() for c in w)]
     out, titled = [], False
     for w in words:
@@ -50,7 +47,7 @@ def name_tokens(name: str | None) -> tuple[str, ...]:
         if bare in TITLES and len(words) > 1:
             titled = True
         elif bare not in LEGAL and not (bare in REMARKS and len(out) >= 2):
-            out.append(NICKNAMES.get(bare, bare) + ("." if w.endswith(".") and len(bare) > 1 else ""))
+            out.append(bare + ("." if w.endswith(".") and len(bare) > 1 else ""))
     return (*out, "=") if titled else tuple(out)
 
 
@@ -76,6 +73,11 @@ def token_similarity(a: str, b: str) -> float:
     return 1 - d / (len(y) + 1)
 
 
+def together_typos(size: int) -> int:
+    """Edits tolerated between a name of so many letters written as one word and one of several words."""
+    return 0 if size < 8 else 1 if size < 12 else 2
+
+
 def compare(a: list[str], wa: list[float], b: list[str], wb: list[float]) -> tuple[str, str, str]:
     """How two names' tokens relate: kind (``full``: word for word; ``same``: with initials; ``a_in_b``,
     ``b_in_a`` or blank), and for a name that is only part of the other the first letter of what the
@@ -85,7 +87,7 @@ def compare(a: list[str], wa: list[float], b: list[str], wb: list[float]) -> tup
     if not ta or not tb:
         return no
     ja, jb = "".join(ta).replace(".", ""), "".join(tb).replace(".", "")
-    if len(ja) > 3 and typos(ja, jb, 1 if min(len(ja), len(jb)) < 9 else 2) <= (1 if len(ta) == len(tb) else 0) and len(ta) != len(tb):
+    if len(ja) > 3 and len(ta) != len(tb) and typos(ja, jb, together_typos(min(len(ja), len(jb)))) <= together_typos(min(len(ja), len(jb))):
         return ("full", "", "")
     pairs = sorted(((token_similarity(x, y), wa[i] + wb[j], -abs(i - j), i, j) for i, x in enumerate(ta) for j, y in enumerate(tb)), reverse=True)
     used_a, used_b, strong, light = {}, {}, [], 0
@@ -126,51 +128,65 @@ def _compare(ta: pd.Series, wa: pd.Series, tb: pd.Series, wb: pd.Series) -> pd.D
     return pd.DataFrame([compare(list(a), list(x), list(b), list(y)) for a, x, b, y in zip(ta, wa, tb, wb)], columns=["kind", "more_a", "more_b"])
 
 
-def name_links(names: DataFrame) -> DataFrame:
+@F.pandas_udf(T.BooleanType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_similarity(x, y) > 0 for x, y in zip(a, b)], dtype=bool)
+
+
+def nickname_table(names: DataFrame, nicknames: Mapping[str, str] | None = None) -> DataFrame:
+    """A table of short forms (``nickname``, ``given``) for ``name_links``; by default the built-in lists,
+    with words of company names."""
+    rows = [(unaccented(a).lower(), unaccented(b).lower()) for a, b in ({**NICKNAMES, **FIRM_WORDS} if nicknames is None else nicknames).items()]
+    return names.sparkSession.createDataFrame(rows, "nickname string, given string")
+
+
+def name_links(names: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
     """Pairs of spellings within a group that mean the same person, family or organisation.
 
     ``names``: ``scope`` (names are compared within it) and ``name``; further columns are ignored.
+    ``nicknames``: ``nickname`` and ``given``, plain lower-case words (default: ``nickname_table``).
     Result: ``scope``, ``name_a`` < ``name_b`` (exactly as given), distinct. Null scopes and names, and
-    names without letters, have no links. Repeated rows count once.
-
-    Each distinct name becomes tokens (company forms, titles and remarks aside). A token's weight is the
-    logarithm of how few distinct names hold it, over all names. Words of one scope within the edits
-    that ``token_similarity`` accepts are found by their forms with as many letters left out,
-    abbreviations by their first letters. As every word of one of the two names must match a word of
-    the other, and at most as many match an initial as the other has, names are candidates if one of
-    those rarest words of one is similar to any word of the other, or if they are equal when written
-    together; never all pairs of a
-    scope. A candidate is verified by aligning the tokens: each must match a token of the other (typo,
-    initial, abbreviation, short form of a given name), and words left over on both sides mean different
-    customers. Two names that both match a third word for word are linked too, as each may have typos of
-    its own. A name that is only part of another ("Fru Berg", or one word of a firm) is linked if the
-    shared words weigh enough and all names that contain it in that scope agree in their further word's
-    initial; otherwise it could be either, and isn't linked.
+    names without letters, have no links. Repeated rows count once. Of several given names of one
+    nickname the first by code point is taken.
+
+    Each distinct name becomes tokens (company forms, titles and remarks aside; nicknames as the given
+    name). A token's weight is the logarithm of how few distinct names hold it, over all names. The
+    distinct tokens of a scope, and its names written as one word, are joined as sets of q-grams by the
+    prefix filter (``_similar_words``) with the bound that the tolerated edits set. A name's rarest token
+    (and one more for each initial of the other name) meets any token of the other: as every token of one
+    of the two must match a token of the other, and at most as many match an initial as the other has,
+    this finds all pairs that the comparison accepts, and never all pairs of a scope. A candidate is
+    verified by soft weighted token similarity: aligned tokens must each match (typo, initial,
+    abbreviation), and words left over on both sides mean different customers. Two names that both match
+    a third word for word are linked too, as each may have typos of its own. A name that is only part of
+    another ("Fru Berg", or one word of a firm) is linked if the shared words weigh enough and all names
+    that contain it in that scope agree in their further word's initial; otherwise it could be either,
+    and isn't linked.
     """
     spelled = names.where(F.col("scope").isNotNull() & F.col("name").isNotNull()).select("scope", "name").distinct()
     base = cut_lineage(spelled.select("scope", "name", F.xxhash64("name").alias("_id"), _tokens("name").alias("_tk")).where(F.size("_tk") > 0))
-    each = base.select("scope", "_id", F.posexplode("_tk").alias("_at", "_t"))
+    short = nickname_table(names) if nicknames is None else nicknames
+    short = short.where(F.col("nickname").isNotNull()).groupBy(F.col("nickname").alias("_t")).agg(F.min("given").alias("_given"))
+    each = base.select("scope", "_id", F.posexplode("_tk").alias("_at", "_t")).join(short, "_t", "left")
+    each = each.select("scope", "_id", "_at", F.coalesce("_given", "_t").alias("_t"))
     count = each.groupBy("_t").agg(F.count("*").alias("_n"))
-    total = base.count()
+    total = base.count()  # one number
     weight = F.when(F.col("_t") == "=", 0.0).otherwise(F.log(1 + total / F.col("_n")))
-    weighted = each.join(count, "_t").withColumn("_w", weight)
     listed = F.array_sort(F.collect_list(F.struct("_at", "_t", "_w")))
-    known = weighted.groupBy("scope", "_id").agg(listed.alias("_l")).select("scope", "_id", F.transform("_l", lambda x: x["_t"]).alias("_tk"), F.transform("_l", lambda x: x["_w"]).alias("_wt"))
-    known = cut_lineage(known)
+    known = each.join(count, "_t").withColumn("_w", weight).groupBy("scope", "_id").agg(listed.alias("_l"))
+    known = cut_lineage(known.select("scope", "_id", F.transform("_l", lambda x: x["_t"]).alias("_tk"), F.transform("_l", lambda x: x["_w"]).alias("_wt")))
 
     long = F.reverse(F.array_sort(F.filter(F.arrays_zip(F.col("_wt").alias("w"), F.col("_tk").alias("t")), lambda x: F.length(x["t"]) > 1)))
     initials = F.size(F.filter("_tk", lambda t: (F.length(t) == 1) & (t != "=")))
-    keyed = known.select("scope", "_id", initials.alias("_initials"), F.posexplode(long).alias("_rank", "_r"))
-    keyed = cut_lineage(keyed.select("scope", "_id", "_initials", "_rank", F.col("_r.t").alias("_t"), F.regexp_replace("_r.t", "[.]", "").alias("_s")))
-    words = keyed.select("scope", F.col("_s").alias("id")).distinct()
-    same = words.select("scope", F.col("id").alias("left_id"), F.col("id").alias("right_id"))
-    similar = _misspelled(words).unionByName(_abbreviated(keyed.where("_t like '%.%'").select("scope", "_t", F.col("_s").alias("left_id")).distinct(), words))
-    similar = similar.unionByName(similar.select("scope", F.col("left_id").alias("right_id"), F.col("right_id").alias("left_id"))).distinct().unionByName(same)
-    a = keyed.select("scope", F.col("_s").alias("left_id"), F.col("_id").alias("_x"), "_rank")
-    b = keyed.select("scope", F.col("_s").alias("right_id"), F.col("_id").alias("_y"), "_initials")
-    ids = similar.join(a, ["scope", "left_id"]).join(b, ["scope", "right_id"]).where("_x != _y and _rank <= _initials").select("scope", "_x", "_y")
-    together = known.select("scope", "_id", F.translate(F.regexp_replace(F.array_join("_tk", ""), "[=.]", ""), "1i", "ll").alias("_s"))
-    ids = ids.unionByName(together.withColumnRenamed("_id", "_x").join(together.withColumnRenamed("_id", "_y"), ["scope", "_s"]).where("_x < _y").select("scope", "_x", "_y"))
+    tokens = known.select("scope", "_id", initials.alias("_initials"), F.posexplode(long).alias("_rank", "_r"))
+    tokens = tokens.select("scope", "_id", F.lit(0).alias("_as"), "_initials", "_rank", F.col("_r.t").alias("_t"))
+    own = F.filter("_tk", lambda t: t != "=")
+    together = known.where(F.size(own) > 0).select("scope", "_id", F.lit(1).alias("_as"), F.lit(0).alias("_initials"), F.lit(0).alias("_rank"), F.regexp_replace(F.array_join(own, ""), "[.]", "").alias("_t"))
+    keyed = cut_lineage(tokens.unionByName(together.where(F.length("_t") > 3)))
+    similar = _similar_words(keyed.select("scope", "_as", F.col("_t").alias("id")).distinct())
+    a = keyed.select("scope", "_as", F.col("_t").alias("left_id"), F.col("_id").alias("_x"), "_rank")
+    b = keyed.select("scope", "_as", F.col("_t").alias("right_id"), F.col("_id").alias("_y"), "_initials")
+    ids = similar.join(a, ["scope", "_as", "left_id"]).join(b, ["scope", "_as", "right_id"]).where("_x != _y and _rank <= _initials")
     ids = ids.select("scope", F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
     left = known.select("scope", F.col("_id").alias("_x"), F.col("_tk").alias("_ta"), F.col("_wt").alias("_wa"))
     right = known.select("scope", F.col("_id").alias("_y"), F.col("_tk").alias("_tb"), F.col("_wt").alias("_wb"))
@@ -189,41 +205,26 @@ def name_links(names: DataFrame) -> DataFrame:
     return links.select("scope", F.least("_nx", "_ny").alias("name_a"), F.greatest("_nx", "_ny").alias("name_b")).distinct()
 
 
-@F.pandas_udf(T.BooleanType())
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([typos(x, y, 2) <= 2 for x, y in zip(a, b)], dtype=bool)
-
-
-def _cuts(text: Column) -> Column:
-    """``text`` whole and with any one letter left out."""
-    return F.array_union(F.array(text), F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))))
-
-
-def _misspelled(words: DataFrame) -> DataFrame:
-    """Word pairs of a scope within the edits of ``token_similarity``: one from 3 letters on, two from 6 on.
-
-    Words so many edits apart (swaps included) are equal after leaving out as many letters on each side."""
-    read = F.when(F.col("id").contains("1"), F.array(F.translate("id", "1", "i"), F.translate("id", "1", "l"))).otherwise(F.array("id"))
-    each = words.where(F.length("id") >= 3).select("scope", "id", F.explode(read).alias("_f"))
-    once = each.select("scope", "id", _cuts(F.col("_f")).alias("_c"))
-    left_out = F.when(F.length("id") >= 6, F.array_distinct(F.flatten(F.transform("_c", _cuts)))).otherwise(F.col("_c"))
-    keys = once.select("scope", "id", F.explode(F.transform(left_out, lambda c: F.xxhash64(c))).alias("_k"))
-    met = keys.groupBy("scope", "_k").agg(F.collect_set("id").alias("_ids")).where(F.size("_ids") > 1)
-    pairs = met.select("scope", "_ids", F.explode("_ids").alias("left_id")).select("scope", "left_id", F.explode("_ids").alias("right_id"))
-    return pairs.where("left_id < right_id").distinct().where(_near("left_id", "right_id"))
-
-
-def _abbreviated(dotted: DataFrame, words: DataFrame) -> DataFrame:
-    """Abbreviations (``_t`` with its dots, ``left_id`` without) and the words of their scope that begin alike.
+def _similar_words(words: DataFrame) -> DataFrame:
+    """Pairs of words (``id``) of one ``scope`` and class ``_as`` that may be spellings of one another, both
+    ways and each with itself: ``left_id``, ``right_id``.
 
-    From four letters on one of them may be wrong, so the first four are compared with one left out; a
-    shorter one, or one with a dot inside, must begin as the word does.
+    Words within the edits that ``token_similarity`` tolerates (0, 1, 2 from 1, 3, 6 letters on) come by
+    ``edit_join``. An abbreviation shares all pairs of its letters up to its dot, or all but 3 from four
+    letters on, with any word it stands for.
     """
-    start = lambda c, n: F.concat(F.lit(f"{n}:"), F.substring(c, 1, n))
-    fours = lambda c: F.transform(_cuts(F.substring(c, 1, 4)), lambda x: F.concat(F.lit("c:"), x))
-    head = F.split_part("_t", F.lit("."), F.lit(1))
-    inside = F.col("_t").rlike("[.].")
-    own = F.when(~inside & (F.length("left_id") >= 4), fours("left_id")).when(F.length(head) >= 2, F.array(start(head, 2))).otherwise(F.array(start(head, 1)))
-    short = dotted.select("scope", "left_id", F.explode(own).alias("_k"))
-    every = words.select("scope", F.col("id").alias("right_id"), F.explode(F.concat(fours("id"), F.array(start("id", 2), start("id", 1)))).alias("_k"))
-    return short.join(every, ["scope", "_k"]).where("left_id != right_id").select("scope", "left_id", "right_id").distinct()
+    on, left = ["scope", "_as"], F.col("left_id")
+    whole = words.where(~F.col("id").endswith(".") & (F.length("id") >= 3))
+    near = edit_join(whole, None, on, lambda w: F.when(F.length(w) < 3, 0).when(F.length(w) < 6, 1).otherwise(2))
+
+    pairs_of = lambda w: grams(F.translate(w, "1i", "ll"))
+    head = lambda w: F.regexp_replace(w, "[.].*$", "")
+    dotted = words.where(F.col("id").contains(".") & (F.col("_as") == 0))
+    shorts = dotted.select(*on, "id", F.filter(pairs_of(head(F.col("id"))), lambda g: ~g.endswith("$")).alias("tokens"))
+    longs = words.where("_as = 0").join(dotted.select("scope").distinct(), "scope", "left_semi").select(*on, "id", pairs_of(F.regexp_replace("id", "[.]", "")).alias("tokens"))
+    slack = lambda w: F.when(F.length(head(w)) >= 4, 3).otherwise(0)
+    begins = overlap_join(shorts, longs, on, lambda nl, nr: F.greatest(nl - slack(left), F.lit(1)), lambda _: slack(F.col("id")) + 1, lambda n: n)
+
+    found = near.unionByName(begins.where("left_id != right_id").select(*on, "left_id", "right_id")).where((F.col("_as") == 1) | _alike("left_id", "right_id"))
+    both = F.array(F.struct("left_id", "right_id"), F.struct(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id")))
+    return found.select(*on, F.inline(both)).unionByName(words.select(*on, F.col("id").alias("left_id"), F.col("id").alias("right_id")))

@@ -6,9 +6,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rotaloom.llm.labels import closeness, map_labels, plain, stripped
-from rotaloom.llm.names import compare, name_links, name_tokens
-from rotaloom.llm.setsim import similarity_join
+from rotaloom.llm.labels import closeness, glossary_table, map_labels, plain, stripped
+from rotaloom.llm.names import compare, name_links, name_tokens, nickname_table
+from rotaloom.llm.setsim import edit_join, similarity_join
 from rotaloom.llm.spelling import osa, typos, unread
 
 
@@ -47,7 +47,7 @@ def test_label_rules():
 
 def test_map_labels_edges(spark):
     entries = spark.createDataFrame([(1, "Golvvård", "x"), (2, "Matrast", "y"), (2, "Matrast", "y"), (None, "Nix", None), (9, None, None)], "entry_id int, entry string, form string")
-    long = "Golvvård " + "ord " * 20_000
+    long = "Golvvård " + "abcdefghijklmnopqrstuvxyz " * 4_000
     values = [("GOLVVARD 4h", 1), ("golv bonvax", 1), ("Matr.", 2), ("Bowling", 0), ("?", 0), ("", 0), (long, 0)]
     df = spark.createDataFrame([(v, "z") for v, _ in values] * 2 + [(None, None)], "value string, entry_id string")
     got = {r.value: r.entry_id for r in map_labels(df, entries).collect()}
@@ -56,6 +56,15 @@ def test_map_labels_edges(spark):
     assert map_labels(df.limit(0), entries).count() == 0
 
 
+def test_labels_and_words_that_no_list_holds(spark):
+    entries = spark.createDataFrame([(1, "Solcellsmontage"), (2, "Bastuskötsel"), (3, "Ridlektion")], "entry_id int, entry string")
+    values = {"montage av solceller": 1, "skötsel av bastu": 2, "Solcellsmnotage": 1, "Ridlekt.": 3, "riding lesson": 0, "Sophämtning": 0}
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    assert {r.value: r.entry_id for r in map_labels(df, entries).collect()} == values
+    own = glossary_table(df, {"riding": "rid", "lesson": "lektion"})
+    assert {r.value: r.entry_id for r in map_labels(df, entries, own).collect()} == {**values, "riding lesson": 3}
+
+
 def test_short_abbreviations_and_typos_are_candidates(spark):
     entries = spark.createDataFrame([(1, "Instruktörsutbildning"), (2, "Graffitiborttagning"), (3, "Utvecklingssamtal"), (4, "Flyttstädning"), (5, "Matrast"), (6, "Golvvård")], "entry_id int, entry string")
     values = {"Instr.": 1, "Graff.": 2, "Utv.": 3, "U.saml.": 0, "I.utb.": 1, "Flyyts...": 4, "amtrats": 5, "oglvvrad": 6, "Bowling": 0}
@@ -69,13 +78,40 @@ def kind(a, b):
 
 
 def test_name_rules():
-    for a, b in [("Göran Vingestråle", "Vingestråle, Göran"), ("Göran Vingestråle", "Göran Vngestrål"), ("Noomi Tornfelt", "NoomiTornfelt"), ("Gittan Flodofelt", "Birgitta Flodofelt"), ("V. Quillquarn", "Viktoria Quillquarn"), ("Fyrtornets Kont.hotell", "Fyrtornets Kontorshotell AB"), ("Fyrbåk Kons.", "Fyrbåk Konsult HB"), ("Ulrika Fagerstråle hund!", "ULRIKA FAGERSTRÅLE")]:
+    for a, b in [("Göran Vingestråle", "Vingestråle, Göran"), ("Göran Vingestråle", "Göran Vngestrål"), ("Noomi Tornfelt", "NoomiTornfelt"), ("V. Quillquarn", "Viktoria Quillquarn"), ("Fyrtornets Kont.hotell", "Fyrtornets Kontorshotell AB"), ("Fyrbåk Kons.", "Fyrbåk Konsult HB"), ("Ulrika Fagerstråle hund!", "ULRIKA FAGERSTRÅLE")]:
         assert kind(a, b) in ("full", "same"), (a, b)
     assert kind("Fru Trastquarn", "Josefina Trastquarn") == "a_in_b"
     for a, b in [("Lennart Skarvtorpe", "Viktoria Skarvtorpe"), ("Kopparsmed Konsult AB", "Kopparsmed Tandvård HB"), ("L. Skarvtorpe", "Viktoria Skarvtorpe"), ("?", "Anna Berg"), ("", "")]:
         assert kind(a, b) == "", (a, b)
 
 
+def test_nicknames_and_the_surname_ek(spark):
+    rows = [(1, "Bob Ek"), (1, "Robert Ek"), (2, "Pluttan Sjöö"), (2, "Petronella Sjöö"), (3, "Kalle Ek"), (3, "Kalle"), (4, "Fyren ek. för."), (4, "Fyren")]
+    df = spark.createDataFrame(rows, "scope int, name string")
+    pairs = lambda got: {(r.name_a, r.name_b) for r in got.collect()}
+    assert name_tokens("Kalle Ek") == ("kalle", "ek")
+    assert pairs(name_links(df)) == {("Bob Ek", "Robert Ek"), ("Kalle", "Kalle Ek"), ("Fyren", "Fyren ek. för.")}
+    own = nickname_table(df, {"Pluttan": "Petronella"})
+    assert pairs(name_links(df, own)) == {("Petronella Sjöö", "Pluttan Sjöö"), ("Kalle", "Kalle Ek"), ("Fyren", "Fyren ek. för.")}
+
+
+def test_names_run_together_with_typos(spark):
+    rows = [(1, "Elisaabet Isoprydh"), (1, "ElisabetIsoprydh"), (1, "Nils Isoprydh")]
+    got = name_links(spark.createDataFrame(rows, "scope int, name string")).collect()
+    assert [(r.name_a, r.name_b) for r in got] == [("Elisaabet Isoprydh", "ElisabetIsoprydh")]
+
+
+def test_edit_join_finds_all_within_the_edits(spark):
+    random.seed(11)
+    most = lambda n: 1 if n < 6 else 2
+    words = {"".join(random.choice("abcde") for _ in range(random.randint(3, 9))) for _ in range(150)} | {"a" * 9}
+    got = edit_join(spark.createDataFrame([(w,) for w in words], "id string"), None, [], lambda w: F.when(F.length(w) < 6, 1).otherwise(2)).collect()
+    met = {frozenset(r) for r in got}
+    assert len(met) == len(got)
+    rich = lambda w: len({w[i : i + 2] for i in range(len(w) - 1)}) + 2 > 3 * most(len(w))
+    assert all(frozenset((a, b)) in met for a in words for b in words if a < b and rich(a) and rich(b) and osa(a, b, 2) <= most(min(len(a), len(b))))
+
+
 def test_name_links_edges(spark):
     names = ["Anna Berglund", "anna  berglund", "Berglund, Anna", "A. Berglund", "Fru Norrby", "Eva Norrby", "Olof Norrby", "?", "", None, "Anna " * 4000]
     rows = [(1, n, "x") for n in names] * 2 + [(2, "Anna Berglund", "x"), (None, "Anna Berglund", "x"), (None, "anna berglund", "x")]
