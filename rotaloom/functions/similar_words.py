@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +21,7 @@ def word_groups(text: str, most: int = 3) -> list[str]:
     return list(dict.fromkeys(r for r in runs if len(r.replace(" ", "")) >= LEAST_LETTERS))
 
 
-def closest(text: str, patterns: list[str]) -> tuple[float, int]:
+def closest(text: str, patterns: Sequence[str]) -> tuple[float, int]:
     """Ratio and number of the pattern most like a word group of ``text``; (0, -1) below the least ratio.
 
     Of equal ratios the earlier pattern wins. Cheap bounds are tried before the full comparison.
@@ -44,6 +46,23 @@ def closest(text: str, patterns: list[str]) -> tuple[float, int]:
     return best, at
 
 
+@lru_cache(200_000)
+def _known(text: str, patterns: tuple[str, ...]) -> int:
+    return closest(text, patterns)[1]
+
+
+def closest_of(patterns: list[str]) -> Callable[[Column], Column]:
+    """A function of an array of texts: for each the number of the closest pattern, -1 if none is close or
+    the text is null. A text is compared once in each worker."""
+    fixed = tuple(patterns)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def numbers(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda ts: [-1 if t is None else _known(t, fixed) for t in ts])
+
+    return lambda texts: numbers.asNondeterministic()(texts)
+
+
 def closest_label(values: DataFrame, column: str, patterns: list[str]) -> DataFrame:
     """``values``' distinct texts with the number of the closest pattern (-1: none) and the ratio.
 

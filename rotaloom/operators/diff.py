@@ -2,89 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotaloom.functions.clock import to_minutes
 from rotaloom.functions.identity import value_hash
+from rotaloom.functions.text import once
 from rotaloom.operators.versions import first_of
-from rotaloom.session import cut_lineage
 
-DEDUPE = ["user_id", "schedule_date", "event_type", "location_fingerprint", "customer_fingerprint", "old_value_hash", "new_value_hash"]
+#: What makes two events of the log the same.
+DEDUPE = ["user_id", "schedule_date", "location_fingerprint", "event_type", "old_value_hash", "new_value_hash"]
 
 
-def _sides(days: DataFrame, keys: list[str], name: str) -> DataFrame:
-    x = F.col("_x")
-    rows = days.select(*keys, F.posexplode(name).alias("_seq", "_x")).where("_x is not null")
-    order = F.struct(x["location_fingerprint"], x["customer_fingerprint"], x["start"], x["end"], F.lower(x["customer_name"]), F.lower(x["street"]), F.lower(x["street_number"]), F.lower(x["city"]), F.col("_seq"))
-    return rows.withColumn("_order", order)
+def _refs(shifts: str) -> Column:
+    """The shifts of an array that aren't null, in their order of comparison (``k``), which ends with their place."""
+    def ref(x: Column, i: Column) -> Column:
+        k = F.struct(
+            x["location_fingerprint"].alias("loc"), x["customer_fingerprint"].alias("cust"), x["start"].alias("s"), x["end"].alias("e"),
+            F.lower(x["customer_name"]).alias("name"), F.lower(x["street"]).alias("street"), F.lower(x["street_number"]).alias("number"), F.lower(x["city"]).alias("city"), i.alias("seq"),
+        )
+        return F.struct(k.alias("k"), x.alias("x"))
 
+    return F.array_sort(F.filter(F.transform(shifts, ref), lambda r: r["x"].isNotNull()))
 
-def _without(rows: DataFrame, pairs: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    return rows.join(pairs.select(*keys, F.col(seq).alias("_seq")), [*keys, "_seq"], "left_anti")
 
+def _nearest(old: Column, new: Column) -> Column:
+    """One-to-one pairs (``o``, ``n``) of equal identity, the nearest times first: one fold over the sorted offers."""
+    def offers(o: Column) -> Column:
+        gap = lambda n: F.abs(to_minutes(o["k"]["s"]) - to_minutes(n["k"]["s"])) + F.abs(to_minutes(o["k"]["e"]) - to_minutes(n["k"]["e"]))
+        same = F.filter(new, lambda n: (n["k"]["loc"] == o["k"]["loc"]) & (n["k"]["cust"] == o["k"]["cust"]))
+        return F.transform(same, lambda n: F.struct(F.coalesce(gap(n), F.lit(1 << 30)).alias("gap"), o["k"].alias("ok"), n["k"].alias("nk"), o["x"].alias("o"), n["x"].alias("n")))
 
-def _nearest_pairs(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one pairs of equal identity, the nearest times first: one fold over the sorted pairs."""
-    same = [*keys, "_loc", "_cust"]
-    side = lambda rows, s: rows.select(*keys, F.col("_x.location_fingerprint").alias("_loc"), F.col("_x.customer_fingerprint").alias("_cust"), F.col("_seq").alias(f"_{s}"), F.col("_order").alias(f"_{s}_order"), to_minutes(F.col("_x.start")).alias(f"_{s}_a"), to_minutes(F.col("_x.end")).alias(f"_{s}_b"))
-    gap = F.abs(F.col("_o_a") - F.col("_n_a")) + F.abs(F.col("_o_b") - F.col("_n_b"))
-    pairs = side(old, "o").join(side(new, "n"), same)
-    offers = F.array_sort(F.collect_list(F.struct(F.coalesce(gap, F.lit(1 << 30)).alias("gap"), "_o_order", "_n_order", "_o", "_n")))
-    start = F.array().cast("array<struct<_o:int,_n:int>>")
-    taken = lambda acc, p: F.exists(acc, lambda t: (t["_o"] == p["_o"]) | (t["_n"] == p["_n"]))
-    accepted = F.aggregate(offers, start, lambda acc, p: F.when(taken(acc, p), acc).otherwise(F.array_append(acc, F.struct(p["_o"].alias("_o"), p["_n"].alias("_n")))))
-    return pairs.groupBy(*same).agg(accepted.alias("_p")).select(*keys, F.inline("_p"))
+    every = F.array_sort(F.flatten(F.transform(old, offers)))
+    taken = lambda acc, p: F.exists(acc, lambda t: (t["ok"]["seq"] == p["ok"]["seq"]) | (t["nk"]["seq"] == p["nk"]["seq"]))
+    return F.aggregate(every, F.slice(every, 1, 0), lambda acc, p: F.when(taken(acc, p), acc).otherwise(F.array_append(acc, p)))
 
 
-def _indexed_pairs(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+def _without(refs: str, pairs: str, side: str) -> Column:
+    return F.filter(refs, lambda r: ~F.exists(pairs, lambda p: p[side]["seq"] == r["k"]["seq"]))
+
+
+def _indexed(old: str, new: str, *fields: str) -> Column:
     """Pairs of equal ``fields``, first with first, second with second."""
+    same = lambda a, b: F.forall(F.array(*(a["k"][f] == b["k"][f] for f in fields)), lambda t: F.coalesce(t, F.lit(False)))
+    place = lambda refs, r, i: F.size(F.filter(F.slice(refs, 1, i), lambda y: same(y, r)))
 
-    def side(rows: DataFrame, s: str) -> DataFrame:
-        picked = rows.select(*keys, *(F.col(f"_x.{f}").alias(f"_k_{f}") for f in fields), F.col("_seq").alias(f"_{s}"), "_order")
-        w = Window.partitionBy(*keys, *(f"_k_{f}" for f in fields)).orderBy("_order")
-        return picked.withColumn("_rn", F.row_number().over(w)).drop("_order")
+    def mates(o: Column, i: Column) -> Column:
+        fit = F.filter(new, lambda n: same(n, o))
+        return F.transform(F.slice(fit, place(F.col(old), o, i) + 1, 1), lambda n: F.struct(*(o["k"][f].alias(f) for f in fields), o["k"].alias("ok"), n["k"].alias("nk"), o["x"].alias("o"), n["x"].alias("n")))
 
-    return side(old, "o").join(side(new, "n"), [*keys, *(f"_k_{f}" for f in fields), "_rn"]).select(*keys, "_o", "_n")
+    return F.array_sort(F.flatten(F.transform(old, mates)))
 
 
 def diff_days(days: DataFrame, keys: list[str]) -> DataFrame:
     """Events between ``old_shifts`` and ``new_shifts`` (arrays of shift structs) of each row of ``days``.
 
-    ``keys`` identify a row (not null). Result: the keys, event_type, old_value, new_value,
-    location_fingerprint, customer_fingerprint (of the new value, else the old), event_seq (order of
-    stages). Null arrays and elements count as nothing. Stage 1 pairs equal location and customer by
-    nearest times: differing times, else name, else type make the event. Stage 2 pairs what is left by
-    customer and times (relocated), stage 3 by location and times (retitled); the rest is removed or added.
+    ``keys`` are kept with each event. Result: the keys, event_type, old_value, new_value,
+    location_fingerprint, customer_fingerprint (of the new value, else the old), event_seq (1, 2, ...: by
+    stage, then key, then pair). Null arrays and elements count as nothing. Stage 1 pairs equal location
+    and customer by nearest times: differing times, else name, else type make the event. Stage 2 pairs
+    what is left by customer and times (relocated), stage 3 by location and times (retitled); the rest is
+    removed or added. Each row is compared by itself, so there is no exchange.
     """
-    old, new = cut_lineage(_sides(days, keys, "old_shifts")), cut_lineage(_sides(days, keys, "new_shifts"))  # each read by every stage
-    first = cut_lineage(_nearest_pairs(old, new, keys))
-    old2, new2 = _without(old, first, keys, "_o"), _without(new, first, keys, "_n")
-    moved = cut_lineage(_indexed_pairs(old2, new2, keys, ["customer_fingerprint", "start", "end"]))
-    old3, new3 = _without(old2, moved, keys, "_o"), _without(new2, moved, keys, "_n")
-    named = cut_lineage(_indexed_pairs(old3, new3, keys, ["location_fingerprint", "start", "end"]))
-    gone, come = _without(old3, named, keys, "_o"), _without(new3, named, keys, "_n")
-
-    both = first.withColumn("_stage", F.lit(1)).unionByName(moved.withColumn("_stage", F.lit(2))).unionByName(named.withColumn("_stage", F.lit(3)))
-    left = old.select(*keys, F.col("_seq").alias("_o"), F.col("_x").alias("old_value"))
-    right = new.select(*keys, F.col("_seq").alias("_n"), F.col("_x").alias("new_value"))
-    paired = both.join(left, [*keys, "_o"]).join(right, [*keys, "_n"])
-    o, n = F.col("old_value"), F.col("new_value")
-    kind = (
-        F.when(F.col("_stage") == 2, "shift_relocated").when(F.col("_stage") == 3, "shift_retitled")
-        .when((o["start"] != n["start"]) | (o["end"] != n["end"]), "shift_time_changed")
-        .when(~o["customer_name"].eqNullSafe(n["customer_name"]), "shift_retitled")
-        .when(~o["shift_type"].eqNullSafe(n["shift_type"]), "shift_reclassified")
-    )
-    columns = [*keys, "_stage", "event_type", "old_value", "new_value"]
-    found = paired.withColumn("event_type", kind).where("event_type is not null").select(*columns)
-    empty = F.lit(None)
-    removed = gone.select(*keys, F.lit(4).alias("_stage"), F.lit("shift_removed").alias("event_type"), F.col("_x").alias("old_value"), empty.cast(right.schema["new_value"].dataType).alias("new_value"))
-    added = come.select(*keys, F.lit(5).alias("_stage"), F.lit("shift_added").alias("event_type"), empty.cast(left.schema["old_value"].dataType).alias("old_value"), F.col("_x").alias("new_value"))
-    value = F.coalesce("new_value", "old_value")
-    return found.unionByName(removed).unionByName(added).select(
-        *keys, "event_type", "old_value", "new_value", value["location_fingerprint"].alias("location_fingerprint"), value["customer_fingerprint"].alias("customer_fingerprint"), F.col("_stage").alias("event_seq")
-    )
+    given = lambda side: F.coalesce(side, F.array().cast(days.schema[side].dataType)).alias(side)
+    base = once(days.select(*keys, given("old_shifts"), given("new_shifts")), _o=_refs("old_shifts"), _n=_refs("new_shifts")).drop("old_shifts", "new_shifts")
+    base = once(base, _p1=_nearest(F.col("_o"), F.col("_n")))
+    base = once(base, _o2=_without("_o", "_p1", "ok"), _n2=_without("_n", "_p1", "nk"))
+    base = once(base, _p2=_indexed("_o2", "_n2", "cust", "s", "e"))
+    base = once(base, _o3=_without("_o2", "_p2", "ok"), _n3=_without("_n2", "_p2", "nk"))
+    base = once(base, _p3=_indexed("_o3", "_n3", "loc", "s", "e"))
+    base = once(base, _o4=_without("_o3", "_p3", "ok"), _n4=_without("_n3", "_p3", "nk"))
+
+    def changed(p: Column) -> Column:
+        o, n = p["o"], p["n"]
+        return (
+            F.when((o["start"] != n["start"]) | (o["end"] != n["end"]), "shift_time_changed")
+            .when(~o["customer_name"].eqNullSafe(n["customer_name"]), "shift_retitled")
+            .when(~o["shift_type"].eqNullSafe(n["shift_type"]), "shift_reclassified")
+        )
+
+    event = lambda kind, o, n: F.struct(kind.alias("event_type"), o.alias("old_value"), n.alias("new_value"))
+    by_key = F.array_sort(F.transform("_p1", lambda p, i: F.struct(p["ok"]["loc"].alias("loc"), p["ok"]["cust"].alias("cust"), i.alias("i"), p.alias("p"))))
+    first = F.filter(F.transform(by_key, lambda q: event(changed(q["p"]), q["p"]["o"], q["p"]["n"])), lambda e: e["event_type"].isNotNull())
+    paired = lambda pairs, kind: F.transform(pairs, lambda p: event(F.lit(kind), p["o"], p["n"]))
+    none = F.get(F.col("_o.x"), F.lit(-1))  # a null shift
+    gone = F.transform("_o4", lambda r: event(F.lit("shift_removed"), r["x"], none))
+    come = F.transform("_n4", lambda r: event(F.lit("shift_added"), none, r["x"]))
+    events = F.concat(first, paired("_p2", "shift_relocated"), paired("_p3", "shift_retitled"), gone, come)
+    value = F.coalesce("_e.new_value", "_e.old_value")
+    found = base.select(*keys, F.posexplode(events).alias("_at", "_e"))
+    return found.select(*keys, "_e.*", value["location_fingerprint"].alias("location_fingerprint"), value["customer_fingerprint"].alias("customer_fingerprint"), (F.col("_at") + 1).alias("event_seq"))
 
 
 def diff_history(snapshots: DataFrame) -> DataFrame:
@@ -94,9 +101,10 @@ def diff_history(snapshots: DataFrame) -> DataFrame:
     """
     rows = snapshots.where("snapshot_payload is not null").dropDuplicates(["snapshot_id"])
     w = Window.partitionBy("user_id", "schedule_date").orderBy("updated_at", "snapshot_id")
-    days = rows.select("snapshot_id", F.col("snapshot_payload").alias("new_shifts"), F.lag("snapshot_payload").over(w).alias("old_shifts"))
-    about = rows.select("snapshot_id", "user_id", "schedule_date", "source_session_id", F.col("updated_at").alias("detected_at"))
-    events = diff_days(days, ["snapshot_id"]).join(about, "snapshot_id")
+    about = ["snapshot_id", "user_id", "schedule_date", "source_session_id", "detected_at"]
+    days = rows.withColumn("detected_at", F.col("updated_at")).select(*about, F.col("snapshot_payload").alias("new_shifts"), F.lag("snapshot_payload").over(w).alias("old_shifts"))
+    days = days.where(~F.col("new_shifts").eqNullSafe(F.col("old_shifts")))
+    events = diff_days(days, about)
     return events.withColumns({"old_value_hash": value_hash(F.col("old_value")), "new_value_hash": value_hash(F.col("new_value"))})
 
 
@@ -118,5 +126,3 @@ def replay(events: DataFrame, order: list[str]) -> DataFrame:
     each = events.select("user_id", "schedule_date", *order, F.inline(writes)).where("k is not null")
     last = each.groupBy("user_id", "schedule_date", "k").agg(F.max_by("v", F.struct(*order, "step")).alias("shift"))
     return last.where("shift is not null").select("user_id", "schedule_date", "shift")
-
-

@@ -6,6 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rotaloom.functions.identity import SHIFT_FIELDS
+from rotaloom.functions.text import title_letters
+
+
+#: How a kind of shift is told to its user.
+KIND_TEXTS = {
+    "WORK": "Work shift", "TRAVEL": "Travel", "TRAINING": "Training", "BREAK": "Break", "MEETING": "Meeting", "ADMIN": "Administrative task",
+    "LEAVE": "Leave", "UNAVAILABLE": "Unavailable", "SCHOOL": "Work shift", "OFFICE": "Work shift", "HOME_VISIT": "Work shift", "UNKNOWN": "Unknown job type",
+}
+
+
+def kind_text(kind: Column) -> Column:
+    """A kind of shift as told to its user; kinds outside the table in title case."""
+    table = F.create_map(*(F.lit(x) for pair in KIND_TEXTS.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, kind), title_letters(kind))
 
 
 def value_key(value: Column) -> Column:
@@ -14,9 +28,8 @@ def value_key(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(F.concat_ws("|", *parts))
 
 
-def event_key(events: DataFrame) -> Column:
+def event_key() -> Column:
     """A key of what an event says, for events without an id."""
-    del events
     parts = ["user_id", "schedule_date", "source_session_id", "event_type", "location_fingerprint", "customer_fingerprint"]
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts), value_key(F.col("old_value")), value_key(F.col("new_value"))), 256)
 
@@ -36,7 +49,7 @@ def message(today: Column | None = None) -> Column:
     a, b, c, d = get(o, "start", "--:--"), get(o, "end", "--:--"), get(n, "start", "--:--"), get(n, "end", "--:--")
     change = F.when((a != c) & (b == d), F.concat_ws(" → ", a, c)).when((b != d) & (a == c), F.concat(F.lit("ends "), b, F.lit(" → "), d)).otherwise(F.concat(span(o), F.lit(" → "), span(n)))
     kind = F.col("event_type")
-    kinds = F.initcap(F.coalesce(n["shift_type"], F.lit("unknown")))
+    kinds = kind_text(F.coalesce(n["shift_type"], F.lit("UNKNOWN")))
     return (
         F.when(kind == "shift_added", F.concat(F.lit("New shift added "), low, F.lit(" "), span(n), F.lit(" in "), get(n, "city", "unknown location")))
         .when(kind == "shift_removed", F.concat(F.lit("Shift removed "), low, F.lit(" "), span(o), F.lit(" in "), get(o, "city", "unknown location")))
@@ -60,7 +73,7 @@ def build_notifications(events: DataFrame, threshold: int = 3, today: Column | N
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     start = F.coalesce(F.coalesce("new_value", "old_value")["start"], F.lit("99:99"))
-    named = events.withColumn("_id", F.coalesce("event_id", F.lit(""))).withColumn("_key", F.when(F.col("_id") == "", event_key(events)).otherwise(F.col("_id")))
+    named = events.withColumn("_id", F.coalesce("event_id", F.lit(""))).withColumn("_key", F.when(F.col("_id") == "", event_key()).otherwise(F.col("_id")))
     named = named.withColumn("_order", F.struct(F.col("user_id"), F.date_format("schedule_date", "yyyy-MM-dd").alias("d"), start.alias("s"), F.coalesce("location_fingerprint", F.lit("")).alias("l"), F.col("event_type"), F.coalesce("source_session_id", F.lit("")).alias("o"), F.coalesce(F.col("detected_at").cast("string"), F.lit("")).alias("t"), F.col("_id")))
     if seen is not None:
         named = named.join(seen.select(F.col("event_id").alias("_key")).distinct(), "_key", "left_anti")

@@ -204,10 +204,17 @@ _SPACE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _FIX = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({0}, '|I', 'li'), '(\p{{L}})0(\p{{L}})', '\1o\2', 'g'), '(\p{{L}})0(\p{{L}})', '\1o\2', 'g'), '(\p{{L}})1(\p{{L}})', '\1i\2', 'g'), '(\p{{L}})1(\p{{L}})', '\1i\2', 'g')"
 _CLEAN = rf"trim(regexp_replace(regexp_replace({_FIX}, '[^\p{{{{L}}}}\p{{{{N}}}} ''-]', ' ', 'g'), '\s+', ' ', 'g'))"
 _PLAIN = rf"lower(trim(regexp_replace(regexp_replace(strip_accents({_FIX}), '[^\p{{{{L}}}}\p{{{{N}}}} ''-]', ' ', 'g'), '\s+', ' ', 'g')))"
-_DEDUPE = ", ".join(diff.DEDUPE)
-_JSON = "'{{' || " + " || ',' || ".join(f"'\"{f}\":' || coalesce(to_json({{0}}.\"{f}\")::VARCHAR, 'null')" for f in sorted(SHIFT_FIELDS)) + " || '}}'"
-_PAYLOAD = "array_to_string(list_sort(list_transform(snapshot_payload, lambda x: " + " || '|' || ".join(f"coalesce(x.\"{f}\", '')" for f in SHIFT_FIELDS) + ")), ';')"
-_CHAIN = " ".join("WHEN " + " OR ".join(f"contains(m, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in entries.KIND_WORDS)
+_EVENT_KEY = ["user_id", "schedule_date", "location_fingerprint", "event_type", "old_value_hash", "new_value_hash"]
+_FIELDS = ["start", "end", "customer_name", "customer_fingerprint", "street", "street_number", "postal_code", "postal_area", "city", "location_fingerprint", "shift_type", "raw_type_label"]
+_DEDUPE = ", ".join(_EVENT_KEY)
+_JSON = "'{{' || " + " || ',' || ".join(f"'\"{f}\":' || coalesce(to_json({{0}}.\"{f}\")::VARCHAR, 'null')" for f in sorted(_FIELDS)) + " || '}}'"
+_PAYLOAD = "array_to_string(list_sort(list_transform(snapshot_payload, lambda x: " + " || '|' || ".join(f"coalesce(x.\"{f}\", '')" for f in _FIELDS) + ")), ';')"
+_WORDS = {
+    "TRAVEL": ["restid", "inter tid"], "BREAK": ["lunch", "rast", "thank you for today"], "MEETING": ["personalmote"], "ADMIN": ["nyckelhantering", "forberedelser till iss"],
+    "LEAVE": ["vard av barn", "tjanstledig", "sjukdom"], "UNAVAILABLE": ["ej disponibel", "avbokade uppdrag", "avokade uppdrag"], "TRAINING": ["utbildning"],
+    "WORK": ["stadservice", "stadning", "reklamation", "extra stadtillfalle", "fonsterputs", "kylskapsrengoring", "ugnsrengoring", "clickandgo", "skola", "kontor"],
+}
+_CHAIN = " ".join("WHEN " + " OR ".join(f"contains(m, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in _WORDS.items())
 _QUALITY = (
     "CASE WHEN street <> '' THEN 40 + least(length(trim(street)), 40) ELSE 0 END + CASE WHEN trim(street_number) <> '' THEN 12 ELSE 0 END + CASE WHEN trim(postal_code) <> '' THEN 10 ELSE 0 END"
     " + CASE WHEN trim(postal_area) <> '' THEN 8 ELSE 0 END + CASE WHEN trim(city) <> '' THEN 12 + least(length(trim(city)), 20) ELSE 0 END"
@@ -257,7 +264,7 @@ ORACLE = {
     "latest_snapshots": """SELECT user_id, strftime(schedule_date, '%Y-%m-%d') AS schedule_date, snapshot_id, source_session_id, coalesce(len(snapshot_payload), -1)::INT AS shifts FROM day_snapshot
         QUALIFY row_number() OVER (PARTITION BY user_id, day_snapshot.schedule_date ORDER BY updated_at DESC, snapshot_id DESC) = 1""",
     "first_events": f"SELECT event_id FROM schedule_event QUALIFY row_number() OVER (PARTITION BY {_DEDUPE} ORDER BY detected_at, event_id) = 1",
-    "appended_events": f"""SELECT event_id FROM (SELECT * FROM schedule_event WHERE detected_at >= TIMESTAMP '{NOW}') e WHERE NOT EXISTS (SELECT 1 FROM schedule_event o WHERE o.detected_at < TIMESTAMP '{NOW}' AND {" AND ".join(f"o.{c} IS NOT DISTINCT FROM e.{c}" for c in diff.DEDUPE)})
+    "appended_events": f"""SELECT event_id FROM (SELECT * FROM schedule_event WHERE detected_at >= TIMESTAMP '{NOW}') e WHERE NOT EXISTS (SELECT 1 FROM schedule_event o WHERE o.detected_at < TIMESTAMP '{NOW}' AND {" AND ".join(f"o.{c} IS NOT DISTINCT FROM e.{c}" for c in _EVENT_KEY)})
         QUALIFY row_number() OVER (PARTITION BY {_DEDUPE} ORDER BY detected_at, event_id) = 1""",
     "replayed_state": """
         WITH w AS (SELECT user_id, schedule_date, detected_at, event_id, 0 AS step, old_value AS k, NULL AS v FROM schedule_event WHERE old_value IS NOT NULL
@@ -265,7 +272,7 @@ ORACLE = {
         l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY user_id, schedule_date, k.location_fingerprint, k.customer_fingerprint, k."start", k."end" ORDER BY detected_at DESC, event_id DESC, step DESC) = 1)
         SELECT user_id, strftime(schedule_date, '%Y-%m-%d') AS schedule_date, k.location_fingerprint AS location, k.customer_fingerprint AS customer, k."start" AS s, k."end" AS e FROM l WHERE step = 1""",
     "merged_equal_times": f"""
-        WITH a AS (SELECT DISTINCT ON (agg_id) agg_id, session_id, coalesce(shift_start, '') AS s, coalesce(shift_end, '') AS e, {', '.join(f"coalesce({c}, '') AS {c}" for c in SHIFT_FIELDS[2:])}, coalesce(source_count, 1) AS n FROM aggregated_shift),
+        WITH a AS (SELECT DISTINCT ON (agg_id) agg_id, session_id, coalesce(shift_start, '') AS s, coalesce(shift_end, '') AS e, {', '.join(f"coalesce({c}, '') AS {c}" for c in _FIELDS[2:])}, coalesce(source_count, 1) AS n FROM aggregated_shift),
         b AS (SELECT *, {_QUALITY} - CASE WHEN regexp_matches({_TEXT}, '[?+]') THEN 15 ELSE 0 END AS q, length({_TEXT}) AS l FROM a)
         SELECT session_id, s, e, arg_max(customer_name, row(length(trim(customer_name)), lower(customer_name), -agg_id)) AS customer_name, arg_max(raw_type_label, row(length(trim(raw_type_label)), lower(raw_type_label), -agg_id)) AS label,
             shift_type AS kind, arg_max(street, row(q, l, -agg_id)) AS street, arg_max(city, row(q, l, -agg_id)) AS city, sum(n)::INT AS source_count FROM b GROUP BY session_id, s, e, customer_fingerprint, shift_type, lower(raw_type_label)""",
