@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rotaloom.session import cut_lineage, drop_table
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """The least node of each node's component.
 
     ``links``: ``a``, ``b`` (numbers). Result: ``node``, ``root``; nodes without a link to another are
@@ -22,7 +22,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     edges = links.where("a is not null and b is not null and a != b").select("a", "b")
     edges = cut_lineage(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = cut_lineage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    for _ in range(rounds):
+    while True:  # roots only fall, so this ends
         now = roots.select("node", "root")
         near = edges.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = now.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
@@ -34,4 +34,3 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if step.where("old != root").isEmpty():
             drop_table(edges)
             return roots.select("node", "root")
-    raise RuntimeError(f"components didn't settle in {rounds} rounds")

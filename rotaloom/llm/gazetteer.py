@@ -6,6 +6,15 @@ outside them is handled by form and context.
 
 from __future__ import annotations
 
+#: Usual given names of several languages.
+GIVEN = """Adam Agnes Albin Alexander Alice Alva Amanda Anders Andreas Anette Ann Anna Annika Anton Arne Arvid August Axel Barbro Bartolomeus Bengt Bertil
+Birgitta Bo Britt Camilla Carina Carl Carolina Cecilia Charlotta Christer Christina Clara Dagny Daniel David Desirée Ebba Elin Elisabet Elisabeth Ellen Elsa Emil
+Emma Erik Eva Evert Felix Filip Fredrik Frida Gabriel Gerd Gustav Gunilla Gunnar Göran Hanna Hans Harald Helena Henrik Hjalmar Hugo Håkan Ida Inga Ingegerd
+Ingrid Isak Jakob Jan Joakim Johan Johanna Johannes Jonas Josef Josefina Julia Karin Karl Katarina Kerstin Kristina Kristoffer Lars Leif Lena Lennart Linda Linnea
+Linus Lisa Louise Ludvig Magdalena Magnus Maj Malin Margareta Maria Marianne Markus Martin Mattias Mikael Moa Monika Nils Noomi Olof Oskar Ottilia Patrik Peder
+Per Peter Pia Quintus Ragnar Rickard Robert Roland Rolf Rut Sara Sebastian Signe Siv Sofia Stefan Sten Stig Susanna Sven Teresa Tomas Torbjörn Tove Ulf Ulla
+Ulrika Urban Vera Viktor Viktoria Vilhelm Wilma Xenia Yngve Yvonne Zakarias Åke Åsa Åse Örjan Östen""".split()
+
 #: Usual short forms of given names, Swedish and English, in plain lower case.
 NICKNAMES = {
     "abbe": "albert", "affe": "alfred", "alex": "alexander", "ante": "andreas", "bart": "bartolomeus", "basse": "sebastian",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -58,9 +59,8 @@ def fill(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     """The container number of each item (rows of ``sizes``; none may exceed ``capacity``).
 
     Containers are filled one after the other. The next item is the one of the greatest dot product of
-    its size and the room left, each as a share of capacity, among those that fit in every dimension;
-    where two smaller items leave less room than it, they are taken instead. Equal sizes are handled
-    together, so a step costs the number of different sizes.
+    its size and the room left, each as a share of capacity, among those that fit in every dimension.
+    Equal sizes are handled together, so a step costs the number of different sizes.
     """
     n = len(sizes)
     out = np.full(n, -1, np.int64)
@@ -89,28 +89,11 @@ def fill(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
             if not len(fits):
                 break
             best = fits[np.argmax(share[fits] @ (room / np.maximum(capacity, 1)))]
-            pair = _pair(kinds, left, fits, room) if kinds[best][0] < room[0] else None
-            if pair and kinds[pair[0]][0] + kinds[pair[1]][0] > kinds[best][0]:
-                take(pair[0])
-                take(pair[1])
-            else:
-                take(best)
+            take(best)
         number += 1
     return out
 
 
-def _pair(kinds: np.ndarray, left: np.ndarray, fits: np.ndarray, room: np.ndarray) -> tuple[int, int] | None:
-    """Two items that together fit and leave the least room in the first dimension."""
-    first = kinds[fits, 0]
-    partner = np.searchsorted(first, room[0] - first, "right") - 1
-    total = np.where(partner >= 0, first + first[partner], -1)
-    for i in np.argsort(-total, kind="stable")[:8]:
-        a, b = fits[i], fits[partner[i]]
-        if total[i] > 0 and (a != b or left[a] > 1) and (kinds[a] + kinds[b] <= room).all():
-            return int(a), int(b)
-    return None
-
-
 def pack(items: DataFrame, tokens: int = 2048, segments: int = 256, loss: int | None = None, block: int = 20_000) -> DataFrame:
     """Every item's container, with limits on tokens, segments and loss-bearing tokens at once.
 
@@ -120,8 +103,9 @@ def pack(items: DataFrame, tokens: int = 2048, segments: int = 256, loss: int |
     limit: into parts of which all but the last are full if tokens need the most parts, else into even
     parts. Items of 0 tokens take a segment. Repeated rows are items of their own.
 
-    Items are dealt by hash into blocks of about ``block``, so no task holds more whatever the input, and
-    each block is filled on its own by ``fill``; a block leaves at most one container badly filled.
+    Items are dealt by hash into blocks of about ``block``, so no task holds more whatever the input; each
+    block is a partition of its own and filled by ``fill``; a block leaves at most one container badly
+    filled.
     """
     loss = tokens if loss is None else loss
     whole = lambda name, other: F.greatest(F.coalesce(F.col(name).cast("bigint"), F.lit(other)), F.lit(0)).cast("bigint")
@@ -144,4 +128,22 @@ def pack(items: DataFrame, tokens: int = 2048, segments: int = 256, loss: int |
         return pd.DataFrame({"item_id": group.item_id, "part": group.part, "part_tokens": group.t, "container": inside * blocks + group._b.astype(np.int64)})
 
     schema = T.StructType([T.StructField("item_id", base.schema["item_id"].dataType), T.StructField("part", T.IntegerType()), T.StructField("part_tokens", T.LongType()), T.StructField("container", T.LongType())])
-    return dealt.groupBy("_b").applyInPandas(run, schema)
+    spread = dealt.repartition(blocks, "_b")  # a number that is asked for isn't merged again
+    return spread.groupBy("_b").applyInPandas(run, schema)
+
+
+def example_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Documents as training examples: ``item_id``, ``tokens``, ``segments`` (paragraphs) and ``loss``, the
+    tokens of the lines that aren't comments; null texts are left out."""
+    kept = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = counter(tokenizer)
+        for batch in batches:
+            texts = batch.text.tolist()
+            said = ["\n".join(line for line in t.splitlines() if not line.lstrip().startswith("%")) for t in texts]
+            parts = [max(1, sum(1 for p in re.split(r"\n[ \t]*\n", t.replace("\r\n", "\n")) if p.strip())) for t in texts]
+            tokens = count(texts)
+            yield pd.DataFrame({"item_id": batch.doc_id, "tokens": tokens, "segments": parts, "loss": [min(a, b) for a, b in zip(count(said), tokens)]})
+
+    return kept.mapInPandas(run, T.StructType([T.StructField("item_id", kept.schema["doc_id"].dataType), *(T.StructField(n, T.LongType()) for n in ("tokens", "segments", "loss"))]))

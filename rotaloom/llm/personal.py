@@ -13,16 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rotaloom.llm.gazetteer import GIVEN
 from rotaloom.llm.leakage import _ACCENT, _SIGN, _SIGNS, _accent
 from rotaloom.llm.spelling import unaccented
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-#: Given names.
-GIVEN = """Alexander Anders Anna Bartolomeus Birgitta Charlotta Dagny Desirée Elisabet Emma Erik Eva Evert Fredrik Gunilla Göran
-Hjalmar Ingegerd Johan Johannes Josefina Karin Karl Katarina Kristina Kristoffer Lars Lennart Linnea Magdalena Margareta Maria
-Mattias Mikael Nils Noomi Olof Ottilia Peder Per Quintus Rickard Sebastian Sofia Susanna Torbjörn Ulrika Viktoria Wilma Xenia
-Yvonne Zakarias Åke Åse Östen""".split()
 #: Kinds of street.
 STREETS_SV = "gatan|vägen|stigen|torget|liden|leden|backen|kroken|gränd|allén|platsen|gata|väg|stig|gränden"
 STREETS_EN = r"Lane|Street|St\.|Road|Rd\.|Avenue|Ave\.|Crescent|Drive|Close|Square|Terrace|Court|Way"
@@ -48,6 +44,8 @@ _PHONES = [
     re.compile(r"0\d{1,3}(?:[ ~/]|--?|\\,)*\d{2,4}(?:(?:[ ~.\-]|\\,)*\d{2,3}){1,3}"),
     re.compile(r"(?:1[ .\-])?\(?[2-9]\d{2}\)?[ .\-~]\d{3}[ .\-~]\d{4}"),
 ]
+#: Fixed value: a phone number of an area code and six digits (eight in all) is only known by its groups.
+_GROUPED = re.compile(r"0\d{1,2}(?:--?|[ ~/])\d{2,3}[ ~]\d{2}[ ~]?\d{2}")
 _ID_SV = re.compile(rf"(?:\d{{2}})?\d{{6}}(?:{_DASH}|\+|[ ~])?\d{{4}}")
 _ID_US = re.compile(r"\d{3}([ \-~])\d{2}\1\d{4}")
 _HOST = r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]|\\-)*)"
@@ -77,7 +75,8 @@ _NOT_LEFT = re.compile(r"(?:\brun|grant no\.?|contract|doi|issn|isbn|catalogue l
 _PHONE_LEFT = re.compile(r"(?:tel\.?|phone,?|called at|reachable on|på|call|mobile|fax|ring|&|tfn\.?|number|at|on)[\s~:]*$", re.I)
 
 _GIVEN = {unaccented(g).lower() for g in GIVEN}
-_SURNAME = re.compile(r"(?:hjelm|felt|skata|oga|mantel|bolander|quarn|torpe|klintz|rydh|wede|strale|sson|berg|strom|lund|qvist|gren|dahl)$")
+#: Usual endings of surnames.
+_SURNAME = re.compile(r"(?:sson|sen|berg|borg|strom|lund|qvist|kvist|gren|dahl|man|mark|stedt|blad|ander|holm|vall|hjelm|felt|quist|son|mann|stein|ski|ska|escu|ova|dottir)$")
 
 
 #: Words before or behind a name, and words of organisations and of titles, for names outside the lists.
@@ -134,7 +133,7 @@ def candidates(text: str) -> list[Span]:
     out: list[Span] = []
     for m in _AT.finditer(text) if "@" in text or any(sign in text for sign in _AT_SIGNS) else ():
         domain = _DOMAIN.match(text, m.end())
-        local = domain and (_users(text, m.start()) or _LOCAL.search(text, max(0, m.start() - 90), m.start()))
+        local = domain and (_users(text, m.start()) or _local(text, m.start()))
         if local and (m[0] != "@" or not local[0].endswith((" ", "~"))):
             host = domain[0].lower()
             f = ["email:" + ("plain" if m[0] == "@" else "disguised"), "email:dot" if "." in host or "dot" in host else "email:nodot"]
@@ -142,7 +141,7 @@ def candidates(text: str) -> list[Span]:
                 f.append("email:list")
             out.append((local.start(), domain.end(), "email", tuple(f)))
     for m in _DIGITS.finditer(text):
-        if len(m[0]) >= 9 and sum(c.isdigit() for c in m[0]) >= 9:
+        if len(m[0]) >= 9 and sum(c.isdigit() for c in m[0]) >= (8 if _GROUPED.fullmatch(m[0]) else 9):
             out += _run(text, m)
     for m in _ADDRESS_SV.finditer(text):
         out += _extended(text, m, _TAIL_SV, "sv")
@@ -160,6 +159,16 @@ def candidates(text: str) -> list[Span]:
     return out
 
 
+def _local(text: str, at: int) -> re.Match | None:
+    """The user that ends at ``at``, however long: looked for in a stretch that grows while all of it is his."""
+    back = 90
+    while True:
+        found = _LOCAL.search(text, max(0, at - back), at)
+        if not found or found.start() > at - back or found.start() == 0:
+            return found
+        back *= 4
+
+
 def _users(text: str, at: int) -> re.Match | None:
     """The bracketed list of users that ends at ``at``, from its opening bracket, however long."""
     end = _LIST_END.search(text, max(0, at - 3), at)
@@ -217,7 +226,7 @@ def _name_features(text: str, m: re.Match, common: set[str]) -> tuple[str, ...]:
     inverted = "," in name
     surname = long[0] if inverted else long[-1]
     shaped = _SURNAME.search(surname) is not None
-    if not given and not (shaped and ("." in name or len(long) > 1)):
+    if not given and not (shaped and "." in name):
         return _unlisted(text, m, long, common)
     right, left = text[m.end() : m.end() + 24], text[max(0, m.start() - 24) : m.start()]
     f = [f"name:given{min(given, 1)}", f"name:shape{int(shaped)}", "name:inverted" if inverted else "name:plain"]
@@ -312,8 +321,8 @@ def _numbers(text: str, start: int, run: int) -> list[Span]:
         m = pattern.match(text, start)
         if m and not re.match(r"[\d\w]|[-.]\d", text[m.end() : m.end() + 2]) and not re.search(r"[\w.\-/]$", left):
             digits = re.sub(r"\D", "", m[0])
-            if 9 <= len(digits) <= 15:
-                own = [] if not _ID_SV.fullmatch(m[0]) or not _dated(digits) else ["phone:isid"]
+            if (len(digits) >= 9 or len(digits) == 8 and _GROUPED.fullmatch(m[0])) and len(digits) <= 15:
+                own = ["phone:short"] if len(digits) < 9 else [] if not _ID_SV.fullmatch(m[0]) or not _dated(digits) else ["phone:isid"]
                 out.append((start, m.end(), "phone", (f"phone:form{k}", *own, *(f"phone:{a}" for a in around if a), "phone:long" if len(digits) > 13 else "phone:size")))
     return out
 
@@ -393,9 +402,9 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]], rounds: int = 12
 @lru_cache(1)
 def trained(examples: int = 1500, seed: int = 7) -> tuple[tuple[str, float], ...]:
     """The model, trained on ``examples`` sentences each of the built-in labelled generators (a fixed bound)."""
-    from rotaloom.llm.personal_training import runs, sentences, unlisted
+    from rotaloom.llm.personal_training import runs, sentences, short_numbers, unlisted
 
-    return tuple(sorted(fit([*sentences(examples, seed), *unlisted(examples, seed), *runs(examples, seed)]).items()))
+    return tuple(sorted(fit([*sentences(examples, seed), *unlisted(examples, seed), *runs(examples, seed), *short_numbers(examples // 10, seed)]).items()))
 
 
 def find(text: str, weights: dict[str, float]) -> list[tuple[int, int, str]]:

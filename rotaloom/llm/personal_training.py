@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 
-from rotaloom.llm.personal import GIVEN, luhn
+from rotaloom.llm.gazetteer import GIVEN
+from rotaloom.llm.personal import luhn
 
 _STEMS = ["Berg", "Lund", "Ek", "Sjö", "Norr", "Torn", "Kvist", "Alm", "Gran", "Hag"]
-_ENDS = ["hjelm", "felt", "skata", "mantel", "bolander", "quarn", "torpe", "klintz", "rydh", "wede", "stråle", "öga"]
+_ENDS = ["berg", "ström", "gren", "lind", "man", "crona", "fors", "hage", "vik", "bom", "sköld", "näs"]
 _STREETS = ["Björkhags", "Ekbacks", "Norra", "Smedje", "Kvarn", "Storängs", "Lärkhagar"]
 _KINDS = ["gatan", "vägen", "stigen", "torget", "liden", "leden", "backen", "kroken", "gränd", "allén"]
 _TOWNS = ["Ekstad", "Norrhamn", "Bergköping", "Lundstrand", "Almbo", "Granvik"]
@@ -147,6 +148,24 @@ def unlisted(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]
     return out
 
 
+_SHORT = ["Ring 08-{} idag.", "tel. 08-{}", "tfn 019-{}", "% call 08-{} first", "phone, 08-{}.", "\\texttt{{08-{}}}"]
+
+
+def short_numbers(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """``count`` texts with phone numbers of eight digits, and as many numbers in groups that are none."""
+    r = random.Random(seed + 3)
+    out = []
+    for i in range(count):
+        value = f"{_digits(r, 2)} {_digits(r, 2)} {_digits(r, 2)}"
+        if i % 2:
+            out.append((r.choice(["values 0{} {} here", "run 0{}-{} was discarded", "ISSN 0{}-{}", "version 0{}/{}"]).format(_digits(r, 1), value), []))
+        else:
+            text = r.choice(_SHORT).format(value)
+            at = text.index("0")
+            out.append((text, [(at, at + 3 + len(value) + text.startswith("tfn"), "phone")]))
+    return out
+
+
 _RUNS = ["{phone} / {phone}", "{phone} {phone}", "{id_number} {phone}", "{phone}/{phone}", "{phone} {id_number}", "{day} {phone}", "{item}. {phone}", "({item}) {phone}", "tel. {phone} / {phone}", "ring {phone} {phone}", "{item}. {id_number}", "{item} {day} {id_number} {phone}", "{phone}", "tel. {phone}", "{name} & {id_number}"]
 
 

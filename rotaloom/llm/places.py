@@ -20,6 +20,8 @@ STREET_KINDS = {
     "gatan": ["g", "gat", "gata"], "vagen": ["v", "vag"], "stigen": ["st", "stig"], "torget": ["t", "torg", "tg"],
     "liden": ["l", "lid"], "leden": ["l", "led"], "backen": ["b", "back"], "kroken": ["k", "kr", "krok"],
     "grand": ["gr"], "allen": ["a", "all", "alle"], "platsen": ["pl", "plats"],
+    "street": ["str"], "road": ["rd"], "avenue": ["ave", "av"], "lane": ["ln"], "drive": ["dr"], "square": ["sq"], "terrace": ["ter"], "crescent": ["cres"],
+    "strasse": ["str", "stra\u00dfe"], "weg": [], "platz": ["pl"],
 }
 
 _ASIDE = re.compile(r"^\s*(?:c/o\b|lgh\b|lägenhet\b|vån(?:ing)?\b|port\b|uppgång\b|\d+\s*tr\b|gårdshus|box\b).*$", re.I)
@@ -121,7 +123,7 @@ def _one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def _cuts(text: Column) -> Column:
     """``text`` whole and with any one letter left out."""
-    return F.array_union(F.array(text), F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.lit(200)))))
+    return F.array_union(F.array(text), F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text)))))
 
 
 def _right_towns(parsed: DataFrame) -> DataFrame:

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from rotaloom.functions.timeofday import squeeze
 from rotaloom.llm.labels import map_labels
-from rotaloom.llm.leakage import leaked_items
+from rotaloom.llm.leakage import leaked_items, retold_items
 from rotaloom.llm.names import name_links
-from rotaloom.llm.packing import pack, token_counts
+from rotaloom.llm.packing import example_sizes, pack, token_counts
 from rotaloom.llm.personal import find_personal
 from rotaloom.llm.places import place_links
-from rotaloom.llm.survivors import survivors
+from rotaloom.llm.survivors import consensus_values, survivors
 from rotaloom.sources.tables import table
 
+_FIELDS = ["customer_name", "street", "street_number", "postal_code", "city", "raw_type_label"]
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spellings of one customer within a user's shifts."""
@@ -24,9 +26,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record that gives each field of a duplicate group."""
-    fields = ["customer_name", "street", "street_number", "postal_code", "city", "raw_type_label"]
-    records = table(spark, sf_dir, "aggregated_shift").select(F.col("dup_group").alias("group_id"), F.col("agg_id").alias("record_id"), F.col("source_count").alias("trust"), F.col("aggregated_at").alias("at"), *fields, "notes")
-    return survivors(records, fields, ["notes"]).select(F.col("group_id").alias("dup_group"), "field_name", F.col("record_id").alias("agg_id"))
+    records = table(spark, sf_dir, "aggregated_shift").select(F.col("dup_group").alias("group_id"), F.col("agg_id").alias("record_id"), F.col("source_count").alias("trust"), F.col("aggregated_at").alias("at"), *_FIELDS, "notes")
+    return survivors(records, _FIELDS, ["notes"]).select(F.col("group_id").alias("dup_group"), "field_name", F.col("record_id").alias("agg_id"))
+
+
+def p3_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The existing value of each field that is closest to its group's weighted token consensus."""
+    records = table(spark, sf_dir, "aggregated_shift").select(F.col("dup_group").alias("group_id"), F.col("agg_id").alias("record_id"), F.col("source_count").alias("trust"), F.col("aggregated_at").alias("at"), *_FIELDS, "notes")
+    return consensus_values(records, _FIELDS, ["notes"]).select(F.col("group_id").alias("dup_group"), "field_name", "value", F.col("record_id").alias("agg_id"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,17 +57,28 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(items).withColumnRenamed("item_id", "doc_id")
 
 
+def p7_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as training examples in containers under limits on tokens, paragraphs and tokens outside comments."""
+    items = example_sizes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(items, tokens=2048, segments=24, loss=1920).withColumnRenamed("item_id", "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation items that stand, whole or in part, in documents."""
     return leaked_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
 
 
+def p8_retold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation questions that stand in documents with other numbers, names or units."""
+    return retold_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal information in documents."""
     return find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "kind", "value").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_consensus": p3_consensus, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_examples": p7_examples, "p8_found": p8_found, "p8_retold": p8_retold, "p9_found": p9_found}
 _STAND_INS = "'ingen uppgift', 'ej angivet', 'ej angiven', 'ej känd', 'ej känt', 'saknas', 'okänd', 'okänt', 'unknown', 'null', 'none', 'nil', 'nan', 'tbd', 'tba', 'todo', 'n/a', 'n.a.', 'na', 'xxx', 'xx', 'x', 'missing', 'empty', 'test', 'ingen', 'inget', 'uppgift saknas', 'not available'"
 
 
@@ -71,7 +89,6 @@ def _real(value: str) -> str:
     return f"coalesce({bare} <> '' AND {text} NOT IN ({_STAND_INS}) AND NOT regexp_matches({text}, '(\\.\\.\\.|…)$') AND NOT regexp_matches({bare}, '^0+$') AND NOT regexp_matches({bare}, '^1234[0-9]*$') AND NOT ({same}), false)"
 
 
-_FIELDS = ["customer_name", "street", "street_number", "postal_code", "city", "raw_type_label"]
 _EACH = " UNION ALL ".join([f"SELECT dup_group, agg_id, source_count, aggregated_at, '{f}' AS field_name FROM g WHERE {_real(f)}" for f in _FIELDS] + [f"SELECT dup_group, agg_id, source_count, aggregated_at, 'notes' FROM g WHERE len(list_filter(notes, lambda n: {_real('n')})) > 0"])
 ORACLE: dict[str, str] = {
     "p3_found": f"""

@@ -7,7 +7,7 @@ import pandas as pd
 from conftest import SMALL
 
 from rotaloom.llm import leakage, personal
-from rotaloom.llm.leakage import leaked_items, readable
+from rotaloom.llm.leakage import leaked_items, readable, retold_items
 from rotaloom.llm.personal import decode, find, log_partition, replace, score, trained
 from rotaloom.llm.personal_training import sentences
 
@@ -47,10 +47,27 @@ def test_leaks(spark):
     assert leaks(spark, documents, items[1:3]) == set() and leaks(spark, [], items) == set() and leaks(spark, documents, []) == set()
 
 
-def test_more_items_than_fit_are_joined_in_full(spark):
+def test_many_items_and_few_bits_lose_nothing(spark):
     d = spark.createDataFrame([(1, ITEM), (2, "nothing " * 20)], "doc_id bigint, text string")
     i = spark.createDataFrame([(k, f"{ITEM} number {k}") for k in range(5)], "item_id bigint, text string")
-    assert {tuple(r) for r in leaked_items(d, i, most_items=2).collect()} == {(1, k) for k in range(5)}
+    assert {tuple(r) for r in leaked_items(d, i, most_bits=15).collect()} == {(1, k) for k in range(5)}
+
+
+def test_retold_questions(spark):
+    """Other numbers and names are found, torn templates and the very words of an item are not."""
+    ask = "A train with {a} wagons leaves {n} at noon and returns to {m} with {b} wagons before the clock strikes nine in the old tower of {n}"
+    item = ask.format(a=12, n="Korvalstad", m="Bremvik", b=12)
+    fillers = [(k, f"A train with {k} lamps leaves {x} at noon and returns to the old tower before the clock strikes nine wagons in of") for k, x in enumerate(("qa", "qb", "qc", "qd"), 50)]
+    documents = [
+        (1, "Solve this. " + ask.format(a=77, n="Ostrel", m="Vimme", b=77)), (2, item), (3, ask.format(a=77, n="Ostrel", m="Vimme", b=78)),  # 3: wagons don't return
+        (4, ask.format(a="many", n="Ostrel", m="Vimme", b="many")), (5, None), (6, "words " * 40),
+    ]
+    d = spark.createDataFrame(documents, "doc_id bigint, text string")
+    i = spark.createDataFrame([(10, item), (11, ask.format(a=3, n="Lund", m="Kil", b=3)), *fillers], "item_id bigint, text string")
+    got = {r.doc_id: r for r in retold_items(d, i, share=0.3).collect()}
+    assert 1 in got and got[1].item_id == 10 and got[1].windows >= 4 and not {2, 4, 5, 6} & set(got)
+    assert got[1].windows > (got[3].windows if 3 in got else 0)
+    assert retold_items(d, i.limit(0)).count() == 0 and retold_items(d.limit(0), i).count() == 0
 
 
 def test_p8_equals_brute_force(spark):
@@ -94,6 +111,26 @@ def test_held_out_sentences():
     assert right / wanted > 0.99 and right / found > 0.99
 
 
+def test_names_absent_from_training():
+    from rotaloom.llm import gazetteer, personal_training
+
+    given, family = ["Beatriz", "Tomasz", "Ngozi", "Sanjay"], ["Oliveira", "Wrona", "Adeyemi", "Krishnan"]
+    assert not set(given) & {*gazetteer.GIVEN, *personal_training._OTHERS} and not set(family) & set(personal_training._FAMILIES)
+    right = 0
+    for g in given:
+        for f in family:
+            for text in (f"Thanks to {g} {f} for the samples.", f"Contact {g} {f}, tel. 031-123 45 67.", f"Participant {g} {f} left the study.", f"Professor {f}, {g} stayed."[:0] or f"We thank {g} {f} for help."):
+                right += [text[a:b] for a, b, k in find(text, WEIGHTS) if k == "name"] == [f"{g} {f}"]
+    assert right >= 60  # of 64
+
+
+def test_short_numbers_and_long_users():
+    assert [t[a:b] for t in ["Ring 08-12 34 56 idag."] for a, b, _ in find(t, WEIGHTS)] == ["08-12 34 56"]
+    assert find("ISSN 0317-8471 and pages 012--345 and 03-04-05", WEIGHTS) == []
+    user = "a" * 300
+    assert [t[a:b] for t in [f"Mail {user}@lab.example now"] for a, b, _ in find(t, WEIGHTS)] == [f"{user}@lab.example"]
+
+
 def test_spans_in_source():
     text = "% ring Sn\\\"ack\\\"oga, {\\AA}se på 031--390\\,06\\,80 om figur 3\n\\author{Anna Eklund}\n\\bibitem{x} Anna Eklund and B. Eklund. Title.\n\nThe Anna Eklund theorem. Run 20190712-9875 was discarded."
     assert [(text[a:b], k) for a, b, k in find(text, WEIGHTS)] == [("Sn\\\"ack\\\"oga, {\\AA}se", "name"), ("031--390\\,06\\,80", "phone")]

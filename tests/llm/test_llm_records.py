@@ -7,9 +7,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rotaloom.llm.components import components
-from rotaloom.llm.packing import counter, fill, pack, token_counts
+from rotaloom.llm.packing import counter, example_sizes, fill, pack, token_counts
 from rotaloom.llm.places import parse_address, place, place_links, street_forms
-from rotaloom.llm.survivors import consensus, real, survivors
+from rotaloom.llm.survivors import aligned, consensus_values, real, survivors
 
 
 def test_components_equal_brute_force(spark):
@@ -39,11 +39,54 @@ def test_real_values(spark):
     assert {r.v: r.ok for r in df.select("v", real(F.col("v")).alias("ok")).collect()} == {**dict.fromkeys(yes, True), **dict.fromkeys(no, False)}
 
 
-def test_consensus():
-    assert consensus(["a b c", "a b c", "a x c"], [1, 1, 1]) == 0
-    assert consensus(["a x c", "a b c", "a b c d"], [1, 1, 1]) == 1
-    assert consensus(["odd one", "a b c", "a b c"], [4, 1, 1]) == 0
-    assert consensus(["", "a"], [1, 1]) in (0, 1) and consensus(["a"], [1]) == 0
+def votes(values, ids):
+    """The closest value by the words of the docstring, in plain loops, for records of equal weight."""
+    total, rank = {}, {}
+    for v, i in zip(values, ids):
+        total[v], rank[v] = total.get(v, 0.0) + 1, max(rank.get(v, -i), -i)
+    centre = max(total, key=lambda v: (total[v], rank[v], v)).lower().split()
+    columns = {v: {c[:2]: c[2] for c in aligned(centre, v.lower().split())} for v in total}
+    every = sum(total.values())
+
+    def agreement(v):
+        out = 0.0
+        for at, token in columns[v].items():
+            told = sum(total[x] for x in total if columns[x].get(at) == token)
+            silent = sum(total[x] for x in total if at not in columns[x])
+            out += (told - silent) / every
+        return round(out, 6)
+
+    return max(total, key=lambda v: (agreement(v), total[v], rank[v], v)), agreement
+
+
+def test_alignment():
+    assert aligned(["a", "b"], ["a", "x", "b"]) == [(0, 0, "a"), (1, 1, "x"), (1, 0, "b")]
+    assert aligned(["a", "b", "c"], ["a", "c"]) == [(0, 0, "a"), (2, 0, "c")]
+    assert aligned(["a", "b"], ["a", "x", "y"]) == [(0, 0, "a"), (1, 0, "x"), (2, 1, "y")] and aligned(["anna", "bergh"], ["anna", "m.", "berg"]) == [(0, 0, "anna"), (1, 1, "m."), (1, 0, "berg")] and aligned([], ["a"]) == [(0, 1, "a")]
+
+
+def test_consensus_values_equal_brute_force(spark):
+    random.seed(4)
+    words = ["anna", "berg", "bergg", "maria", "al.", "ab"]
+    rows = [(g, 100 * g + i, 0, None, " ".join(random.choice(words) for _ in range(random.randint(1, 4))), [random.choice(["hund", "-"])], "x") for g in range(40) for i in range(random.randint(1, 9))]
+    rows += [(99, 10_000 + i, 0, None, "Anna Berg" if i % 3 else f"Anna Berg {i}", None, "x") for i in range(300)] + [(None, 1, 1, None, "x y", None, "x"), (50, 50_000, 1, None, "?", [], "x")]
+    df = spark.createDataFrame(rows + rows[:30], "group_id int, record_id bigint, trust int, at timestamp, name string, notes array<string>, value string")
+    got = {(r.group_id, r.field_name): r for r in consensus_values(df, ["name"], ["notes"]).collect()}
+    for g in {r[0] for r in rows} - {None, 50}:
+        own = [r for r in rows if r[0] == g]
+        best, agreement = votes([r[4] for r in own], [r[1] for r in own])
+        assert abs(got[g, "name"].agreement - agreement(best)) < 1e-5 and agreement(got[g, "name"].value) >= agreement(best) - 1e-5
+    assert got[99, "name"].value == "Anna Berg" and (50, "name") not in got and all(r.value == "hund" for (g, f), r in got.items() if f == "notes")
+    assert consensus_values(df.limit(0), ["name"], ["notes"]).count() == 0
+
+
+def test_the_consensus_decides(spark):
+    """The most trusted record says one thing, more weight in all another, and what wins is an existing value."""
+    at = datetime(2025, 1, 1)
+    rows = [(1, 1, 4, at, "Anna Bergh"), (1, 2, 2, at, "Anna Berg"), (1, 3, 2, at, "Anna M. Berg"), (2, 4, 4, at, "Storgatan 1"), (2, 5, 0, at, "Storgatan 2"), (3, 6, 3, at - timedelta(days=90), "Old"), (3, 7, 1, at, "New")]
+    df = spark.createDataFrame(rows, "group_id int, record_id bigint, trust int, at timestamp, name string")
+    assert {r.group_id: (r.value, r.record_id) for r in consensus_values(df, ["name"], []).collect()} == {1: ("Anna Berg", 2), 2: ("Storgatan 1", 4), 3: ("New", 7)}
+    assert {r.group_id: r.record_id for r in survivors(df, ["name"], []).collect()} == {1: 1, 2: 4, 3: 6}
 
 
 def test_survivors_equal_brute_force(spark):
@@ -62,7 +105,7 @@ def test_survivors_equal_brute_force(spark):
             for f, k in (("name", 4), ("notes", 5)):
                 ok = [r[1] for r in own if (r[k] not in bad if f == "name" else any(x not in (None, "-", "n/a") for x in r[k] or []))]
                 want |= {(g, f, ok[0])} if ok else set()
-    got = survivors(df, ["name"], ["notes"], chunk=16).collect()
+    got = survivors(df, ["name"], ["notes"]).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert survivors(df.limit(0), ["name"], ["notes"]).count() == 0
 
@@ -133,6 +176,16 @@ def test_pack(spark):
     assert pack(spark.createDataFrame([], "item_id int, tokens int")).count() == 0
 
 
+def test_example_sizes_and_blocks(spark):
+    df = spark.createDataFrame([(1, "one two\n% not said\n\nthree"), (2, None), (3, "")], "doc_id int, text string")
+    got = {r.item_id: r for r in example_sizes(df).collect()}
+    assert set(got) == {1, 3} and got[1].segments == 2 and 0 < got[1].loss < got[1].tokens and got[3].tokens == 0
+    items = spark.createDataFrame([(i, 100, 1, 10) for i in range(400)], "item_id int, tokens int, segments int, loss int")
+    packed = pack(items, tokens=1000, segments=4, loss=500, block=100)
+    assert packed.rdd.getNumPartitions() == 4
+    assert packed.groupBy("container").count().agg(F.max("count")).first()[0] == 4  # segments bind, tokens would allow ten
+
+
 def test_tokenizers_agree_on_counts(spark):
     texts = ["Hello world", "", "åäö \\section{x}", "<|endoftext|>"]
     assert counter("/opt/tokenizers/byte_bpe_50k.tiktoken")(texts) == counter("/opt/tokenizers/byte_bpe_50k.json")(texts)
