@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rotaloom.functions.identity import KEY_NOISE, SHIFT_FIELDS, customer_key, location_key
+from rotaloom.functions.timeofday import squeeze
 
 #: Ranks of kinds of shift, and screen words that don't belong to an address.
 KIND_RANK = {"UNKNOWN": 0, "BREAK": 1, "TRAVEL": 2, "MEETING": 3, "ADMIN": 4, "LEAVE": 5, "TRAINING": 6, "UNAVAILABLE": 7, "WORK": 8}
@@ -56,6 +57,12 @@ def merge_equal_times(shifts: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, F.when(F.col("_n") == 1, F.col("_own")).otherwise(F.struct(*(values[f].alias(f) for f in SHIFT_FIELDS))).alias("shift"), "source_count")
 
 
+def collected_notes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct notes of each key, with single spaces, in order of code points; blank and null ones are left out."""
+    notes = F.filter(F.transform(F.coalesce("notes", F.array().cast("array<string>")), lambda n: squeeze(n)), lambda n: n.isNotNull() & (n != ""))
+    return rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(notes)))).alias("notes"))
+
+
 # The clusters of one place depend on each other in order, so they are formed in Python, one place at a time.
 
 

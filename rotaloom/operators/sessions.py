@@ -48,3 +48,9 @@ def object_key(key: Column, prefix: str) -> Column:
     """An object's key under ``prefix``, added once, without slashes in front."""
     bare, head = F.regexp_replace(key, "^/+", ""), prefix.strip("/")
     return bare if not head else F.when(bare.startswith(head + "/"), bare).otherwise(F.concat(F.lit(head + "/"), bare))
+
+
+def looked_up(keys: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """The row of each distinct key, and ``error`` where there is none (``not found``)."""
+    found = rows.distinct().withColumn("_there", F.lit(True))
+    return keys.select(*by).distinct().join(found, by, "left").withColumn("error", F.when(F.col("_there").isNull(), "not found")).drop("_there")

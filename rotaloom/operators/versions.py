@@ -43,3 +43,8 @@ def version_gaps(versions: DataFrame, keys: list[str]) -> DataFrame:
     """Versions that don't follow their predecessor by one (the first must be 1)."""
     w = Window.partitionBy(*keys).orderBy("version")
     return versions.withColumn("expected", F.coalesce(F.lag("version").over(w), F.lit(0)) + 1).where("version != expected")
+
+
+def in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``place``: 1, 2, ... within each key by ``order``."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -219,6 +219,40 @@ _QUALITY = (
     "CASE WHEN street <> '' THEN 40 + least(length(trim(street)), 40) ELSE 0 END + CASE WHEN trim(street_number) <> '' THEN 12 ELSE 0 END + CASE WHEN trim(postal_code) <> '' THEN 10 ELSE 0 END"
     " + CASE WHEN trim(postal_area) <> '' THEN 8 ELSE 0 END + CASE WHEN trim(city) <> '' THEN 12 + least(length(trim(city)), 20) ELSE 0 END"
 ).replace("WHEN street <> ''", "WHEN trim(street) <> ''")
+_AT = lambda v, f, other: f"coalesce({v}.\"{f}\", '{other}')"
+_SPAN = lambda v: f"{_AT(v, 'start', '--:--')} || '–' || {_AT(v, 'end', '--:--')}"
+_A, _B, _D, _E = _AT("o", "start", "--:--"), _AT("o", "end", "--:--"), _AT("n", "start", "--:--"), _AT("n", "end", "--:--")
+_KIND = "CASE coalesce(n.shift_type, 'UNKNOWN') WHEN 'WORK' THEN 'Work shift' WHEN 'TRAVEL' THEN 'Travel' WHEN 'TRAINING' THEN 'Training' WHEN 'BREAK' THEN 'Break' WHEN 'MEETING' THEN 'Meeting' WHEN 'ADMIN' THEN 'Administrative task' WHEN 'LEAVE' THEN 'Leave' WHEN 'UNAVAILABLE' THEN 'Unavailable' WHEN 'UNKNOWN' THEN 'Unknown job type' ELSE upper(n.shift_type[1]) || lower(n.shift_type[2:]) END"
+_MESSAGE = f"""CASE event_type WHEN 'shift_added' THEN 'New shift added on ' || d || ' ' || {_SPAN('n')} || ' in ' || {_AT('n', 'city', 'unknown location')}
+    WHEN 'shift_removed' THEN 'Shift removed on ' || d || ' ' || {_SPAN('o')} || ' in ' || {_AT('o', 'city', 'unknown location')}
+    WHEN 'shift_time_changed' THEN 'On ' || d || ' ' || coalesce(n.city, o.city, 'shift') || ' shift moved ' || CASE WHEN {_A} <> {_D} AND {_B} = {_E} THEN {_A} || ' → ' || {_D} WHEN {_B} <> {_E} AND {_A} = {_D} THEN 'ends ' || {_B} || ' → ' || {_E} ELSE {_SPAN('o')} || ' → ' || {_SPAN('n')} END
+    WHEN 'shift_relocated' THEN 'On ' || d || ' ' || coalesce(n."start", o."start", '--:--') || ' shift moved to ' || {_AT('n', 'city', 'unknown location')}
+    WHEN 'shift_reclassified' THEN 'On ' || d || ' job updated to ' || coalesce(nullif(n.raw_type_label, ''), {_KIND})
+    WHEN 'shift_retitled' THEN 'On ' || d || ' shift updated for ' || coalesce(n.customer_name, o.customer_name, 'customer') ELSE 'On ' || d || ' schedule updated' END"""
+_SORTED = lambda c: f"CASE WHEN {c} IS NULL THEN '' ELSE 'a' || {c} END"
+_ORDER = ", ".join(_SORTED(c) for c in ("x.location_fingerprint", "x.customer_fingerprint", 'x."start"', 'x."end"', "lower(x.customer_name)", "lower(x.street)", "lower(x.street_number)", "lower(x.city)"))
+_MIN = lambda v: f"(try_cast(split_part({v}, ':', 1) AS INT) * 60 + try_cast(split_part({v}, ':', 2) AS INT))"
+_SIDE = "SELECT snapshot_id, seq, x, x.location_fingerprint AS loc, x.customer_fingerprint AS cust, x.\"start\" AS s, x.\"end\" AS e, row_number() OVER (PARTITION BY snapshot_id ORDER BY {0}, seq) AS k FROM (SELECT snapshot_id, unnest({1}) AS x, generate_subscripts({1}, 1) AS seq FROM b) WHERE x IS NOT NULL"
+_PAIRS = lambda a, b, keys: f"SELECT o.snapshot_id, o.k AS ok, n.k AS nk, {', '.join(f'o.{k}' for k in keys)}, o.r FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, {', '.join(keys)} ORDER BY k) AS r FROM {a}) o JOIN (SELECT *, row_number() OVER (PARTITION BY snapshot_id, {', '.join(keys)} ORDER BY k) AS r FROM {b}) n USING (snapshot_id, r, {', '.join(keys)})"
+_LEFT = lambda a, p, k: f"SELECT * FROM {a} WHERE NOT EXISTS (SELECT 1 FROM {p} WHERE {p}.snapshot_id = {a}.snapshot_id AND {p}.{k} = {a}.k)"
+_DIFF = f"""
+    WITH a AS (SELECT DISTINCT ON (snapshot_id) snapshot_id, user_id, schedule_date, updated_at, source_session_id, snapshot_payload AS p FROM day_snapshot WHERE snapshot_payload IS NOT NULL),
+    b AS (SELECT *, lag(p) OVER (PARTITION BY user_id, schedule_date ORDER BY updated_at, snapshot_id) AS q FROM a),
+    n AS ({_SIDE.format(_ORDER, 'p')}), o AS ({_SIDE.format(_ORDER, 'q')}),
+    f AS (SELECT o.snapshot_id, o.loc, o.cust, o.k AS ok, n.k AS nk, coalesce(abs({_MIN('o.s')} - {_MIN('n.s')}) + abs({_MIN('o.e')} - {_MIN('n.e')}), 1073741824) AS gap FROM o JOIN n USING (snapshot_id, loc, cust)),
+    g AS (SELECT snapshot_id, loc, cust, list_reduce(list({{'o': [ok], 'n': [nk]}} ORDER BY gap, ok, nk), lambda a, p: CASE WHEN list_has_any(a.o, p.o) OR list_has_any(a.n, p.n) THEN a ELSE {{'o': list_concat(a.o, p.o), 'n': list_concat(a.n, p.n)}} END) AS t FROM f GROUP BY ALL),
+    p1 AS (SELECT snapshot_id, loc, cust, unnest(t.o) AS ok, unnest(t.n) AS nk, generate_subscripts(t.o, 1) AS r FROM g),
+    o2 AS ({_LEFT('o', 'p1', 'ok')}), n2 AS ({_LEFT('n', 'p1', 'nk')}), p2 AS ({_PAIRS('o2', 'n2', ['cust', 's', 'e'])}),
+    o3 AS ({_LEFT('o2', 'p2', 'ok')}), n3 AS ({_LEFT('n2', 'p2', 'nk')}), p3 AS ({_PAIRS('o3', 'n3', ['loc', 's', 'e'])}),
+    o4 AS ({_LEFT('o3', 'p3', 'ok')}), n4 AS ({_LEFT('n3', 'p3', 'nk')}),
+    j AS (SELECT snapshot_id, 1 AS stage, loc AS k1, cust AS k2, '' AS k3, r, ok, nk FROM p1 UNION ALL SELECT snapshot_id, 2, cust, s, e, r, ok, nk FROM p2 UNION ALL SELECT snapshot_id, 3, loc, s, e, r, ok, nk FROM p3
+        UNION ALL SELECT snapshot_id, 4, '', '', '', k, k, NULL FROM o4 UNION ALL SELECT snapshot_id, 5, '', '', '', k, NULL, k FROM n4),
+    v AS (SELECT j.*, o.x AS old_value, n.x AS new_value, CASE stage WHEN 2 THEN 'shift_relocated' WHEN 3 THEN 'shift_retitled' WHEN 4 THEN 'shift_removed' WHEN 5 THEN 'shift_added' ELSE CASE WHEN o.s <> n.s OR o.e <> n.e THEN 'shift_time_changed'
+        WHEN o.x.customer_name IS DISTINCT FROM n.x.customer_name THEN 'shift_retitled' WHEN o.x.shift_type IS DISTINCT FROM n.x.shift_type THEN 'shift_reclassified' END END AS event_type
+        FROM j LEFT JOIN o ON o.snapshot_id = j.snapshot_id AND o.k = j.ok LEFT JOIN n ON n.snapshot_id = j.snapshot_id AND n.k = j.nk),
+    z AS (SELECT v.snapshot_id, row_number() OVER (PARTITION BY v.snapshot_id ORDER BY stage, k1, k2, k3, r)::INT AS event_seq, event_type, coalesce(new_value, old_value).location_fingerprint AS location_fingerprint, coalesce(new_value, old_value).customer_fingerprint AS customer_fingerprint,
+        sha256(CASE WHEN old_value IS NULL THEN 'null' ELSE {_JSON.format('old_value')} END) AS old_value_hash, sha256(CASE WHEN new_value IS NULL THEN 'null' ELSE {_JSON.format('new_value')} END) AS new_value_hash, a.user_id, a.schedule_date, a.updated_at, a.source_session_id
+        FROM v JOIN a USING (snapshot_id) WHERE event_type IS NOT NULL)"""
 _TEXT = "concat_ws(' ', nullif(street, ''), nullif(street_number, ''), nullif(postal_code, ''), nullif(postal_area, ''), nullif(city, ''))"
 
 ORACLE = {
@@ -266,6 +300,16 @@ ORACLE = {
     "first_events": f"SELECT event_id FROM schedule_event QUALIFY row_number() OVER (PARTITION BY {_DEDUPE} ORDER BY detected_at, event_id) = 1",
     "appended_events": f"""SELECT event_id FROM (SELECT * FROM schedule_event WHERE detected_at >= TIMESTAMP '{NOW}') e WHERE NOT EXISTS (SELECT 1 FROM schedule_event o WHERE o.detected_at < TIMESTAMP '{NOW}' AND {" AND ".join(f"o.{c} IS NOT DISTINCT FROM e.{c}" for c in _EVENT_KEY)})
         QUALIFY row_number() OVER (PARTITION BY {_DEDUPE} ORDER BY detected_at, event_id) = 1""",
+    "lock_keys": "SELECT user_id, schedule_date, CASE WHEN u >= 9223372036854775808 THEN (u - 18446744073709551616)::BIGINT ELSE u::BIGINT END AS lock_key FROM (SELECT user_id, d AS schedule_date, ('0x' || sha256(user_id || ':' || d)[1:16])::UBIGINT::HUGEINT AS u FROM (SELECT DISTINCT user_id, strftime(schedule_date, '%Y-%m-%d') AS d FROM day_snapshot))",
+    "diff_history": _DIFF + " SELECT snapshot_id, event_seq, event_type, location_fingerprint, customer_fingerprint, old_value_hash, new_value_hash FROM z",
+    "event_log": _DIFF + """, k AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY user_id, schedule_date, location_fingerprint, event_type, old_value_hash, new_value_hash ORDER BY updated_at, event_seq, source_session_id) = 1)
+        SELECT sha256(concat_ws('|', coalesce(user_id::VARCHAR, 'null'), coalesce(strftime(schedule_date, '%Y-%m-%d'), 'null'), coalesce(location_fingerprint, 'null'), event_type, old_value_hash, new_value_hash)) AS event_id, event_type, user_id, strftime(k.schedule_date, '%Y-%m-%d') AS schedule_date FROM k""",
+    "notifications": f"""
+        WITH a AS (SELECT DISTINCT ON (event_id) event_id, user_id, schedule_date, strftime(schedule_date, '%Y-%m-%d') AS d, event_type, location_fingerprint, old_value AS o, new_value AS n, source_session_id, detected_at FROM schedule_event),
+        b AS (SELECT *, count(*) OVER (PARTITION BY user_id, schedule_date, source_session_id) AS c, coalesce(coalesce(n, o)."start", '99:99') AS s FROM a),
+        g AS (SELECT user_id, d, source_session_id, list(event_id ORDER BY s, coalesce(location_fingerprint, ''), event_type, detected_at, event_id) AS ids FROM b WHERE c >= 3 GROUP BY ALL)
+        SELECT sha256(concat_ws('|', user_id::VARCHAR, d, source_session_id, event_id)) AS notification_id, user_id, 'event' AS notification_type, {_MESSAGE} AS message, event_id AS event_ids FROM b WHERE c < 3
+        UNION ALL SELECT sha256(concat_ws('|', user_id::VARCHAR, d, source_session_id, 'summary', array_to_string(ids, '|'))), user_id, 'summary', len(ids) || ' shifts updated for on ' || d, array_to_string(ids, ',') FROM g""",
     "replayed_state": """
         WITH w AS (SELECT user_id, schedule_date, detected_at, event_id, 0 AS step, old_value AS k, NULL AS v FROM schedule_event WHERE old_value IS NOT NULL
             UNION ALL SELECT user_id, schedule_date, detected_at, event_id, 1, new_value, new_value FROM schedule_event WHERE new_value IS NOT NULL),

@@ -236,3 +236,95 @@ def test_idle_sessions_stream(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(out) == [("a", 2), ("b", 1)]
+
+
+# sources, stores and the whole way
+
+
+def test_payload_files(spark, tmp_path):
+    import json
+
+    from rotaloom.sources import payloads
+
+    for name, body in {"a.json": json.dumps({"schedule_date": "2025-01-02", "entries": [{"start": "9.5", "end": "10:00", "title": " b ", "location": "åsa-vägen 66a"}, {"start": "09:05", "end": "10 00", "title": "A", "location": "x"}]}), "b.json": "{oops", "c.json": "[1]", "d.json": '{"entries": [{"start": "8"}]}'}.items():
+        (tmp_path / name).write_text(body)
+    got = {r.path[-6]: r for r in payloads.read_payloads(spark, str(tmp_path)).collect()}
+    assert {k: r.error for k, r in got.items()} == {"a": None, "b": "invalid JSON", "c": "not an object", "d": None}
+    rows = payloads.read_payloads(spark, str(tmp_path)).where("error is null")
+    assert [tuple(r)[2:] for r in payloads.payload_entries(rows, ["path"]).where("path like '%d.json'").collect()] == [("8", "", "", "", "")]
+    normal = {r.path[-6]: r for r in rows.select("path", F.inline(F.array(payloads.normalized_payload(F.col("payload.entries"))))).collect()}
+    assert [tuple(e) for e in normal["a"].entries] == [("09:05", "10:00", "A", "X"), ("09:05", "10:00", "b", "Åsa-Vägen 66A")] and normal["d"].error == "start" and normal["d"].entries is None
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        payloads.read_payloads(spark, str(tmp_path / "none"))
+    snap = spark.createDataFrame([("[]",), ("{}",), ("[{",), ('[{"start": "08:00"}]',), ("[null]",)], "t string")
+    assert [r.error for r in snap.select(F.inline(F.array(payloads.read_snapshot(F.col("t"))))).collect()] == [None, "no array", "invalid JSON", "end", "no object"]
+
+
+def test_objects_and_boxes(spark, tmp_path):
+    from rotaloom.sources import payloads
+
+    (tmp_path / "one.png").write_bytes(b"ab c")
+    images = payloads.read_objects(spark, str(tmp_path), "*.png").select(F.lit("i").alias("image_id"), "content")
+
+    def make():
+        return lambda body: [(w.decode(), 0.5, float(n), 0.0, 1.0, 1.0) for n, w in enumerate(body.split())]
+
+    assert [(r.box_seq, r.text, r.x) for r in payloads.extract_boxes(images, make).collect()] == [(0, "ab", 0.0), (1, "c", 1.0)]
+    pages = spark.createDataFrame([("p", [{"poly": [[0.0, 0.0], [4.0, 0.0], [4.0, 2.0], [0.0, 2.0]], "rec": {"text": "t", "score": 0.9}}, {"poly": [[0.0, 0.0]], "rec": {"text": "u", "score": 0.9}}, {"poly": None, "rec": None}])], "image_id string, records array<struct<poly:array<array<double>>,rec:struct<text:string,score:double>>>")
+    assert [(r.box_seq, r.text, r.w, r.h) for r in payloads.legacy_boxes(pages).collect()] == [(0, "t", 4.0, 2.0)]
+
+
+def test_store(spark, tmp_path):
+    from rotaloom.operators import store
+
+    rows = spark.createDataFrame([(1, "open", None), (2, "done", "x"), (3, None, None)], "id int, state string, error string")
+    got = {r.id: r for r in store.guarded_update(rows, F.col("state") == "open", state=F.lit("failed"), error=F.col("state")).collect()}
+    assert tuple(got[1]) == (1, "failed", "open", True) and tuple(got[2]) == (2, "done", "x", False) and tuple(got[3]) == (3, None, None, False)
+    path = str(tmp_path / "log")
+    batch = spark.createDataFrame([(1, 5, "b"), (1, 4, "a"), (None, 1, "n"), (None, 2, "m")], "k int, t int, v string")
+    assert store.append_log(path, batch, ["k"], ["t"]) == 2 and store.append_log(path, batch, ["k"], ["t"]) == 0
+    assert sorted(r.v for r in spark.read.parquet(path).collect()) == ["a", "n"]
+    state = str(tmp_path / "state")
+    assert store.write_state(state, batch, ["k"], ["t"]) == 2 and store.write_state(state, batch, ["k"], ["t"]) == 0
+    assert store.write_state(state, spark.createDataFrame([(1, 9, "z"), (None, 1, "old")], batch.schema), ["k"], ["t"]) == 1
+    assert {r.k: r.v for r in store.read_state(spark, state, batch.schema, ["k"], ["t"]).collect()} == {1: "z", None: "m"}
+
+
+def test_from_boxes_to_messages_and_a_rerun(spark, tmp_path):
+    from rotaloom.plans.pipeline import observed_states, pending_messages, store_run
+
+    def shot(image, start, end):
+        return [(image, t, 20.0, float(y), 200.0, 20.0) for t, y in (("Måndag 2 juni 2025", 0), (f"{start} - {end}".replace(" ", ""), 100), ("Anna Berg Hemstädning", 130), ("Storgatan 5 411 11", 160), ("Göteborg", 190))]
+
+    boxes = spark.createDataFrame(shot("i1", "08:00", "10:00") + shot("i2", "08:00", "10:00") + shot("i3", "09:00", "11:00"), "image_id string, text string, x double, y double, w double, h double")
+    at = lambda h: datetime(2025, 6, 1, h)
+    images = spark.createDataFrame([("i1", "s1", 1, 7, at(1)), ("i2", "s1", 2, 7, at(1)), ("i3", "s2", 1, 7, at(2)), ("i9", "s9", 1, 7, at(3))], "image_id string, session_id string, sequence int, user_id bigint, created_at timestamp")
+    states = observed_states(boxes, images)
+    got = {r.source_session_id: r for r in states.collect()}
+    assert len(got["s1"].snapshot_payload) == 1 and got["s2"].snapshot_payload[0].start == "09:00" and got["s9"].error == "no date" and got["s9"].snapshot_payload is None
+    told = [r.message for r in pending_messages(states).orderBy("source_session_id").collect()]
+    assert len(told) == 2 and told[0].startswith("New shift added on 2025-06-02 08:00–10:00") and "shift moved 08:00–10:00 → 09:00–11:00" in told[1]
+    assert store_run(str(tmp_path), states) == {"events": 2, "states": 1, "messages": 2}
+    assert store_run(str(tmp_path), states) == {"events": 0, "states": 0, "messages": 0}
+
+
+def test_work_needs_a_shared_folder_off_one_machine():
+    from types import SimpleNamespace
+
+    from rotaloom.session import _work_folder
+
+    far = lambda folder: SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=SimpleNamespace(master="yarn", applicationId="a1"))
+    assert _work_folder(far("hdfs://x/")) == "hdfs://x/rotaloom-a1"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _work_folder(far(""))
+
+
+def test_scratch_leaves_no_tables(spark):
+    import os
+
+    from rotaloom.session import cut_lineage, scratch
+
+    with scratch(spark):
+        made = cut_lineage(spark.range(3)).inputFiles()[0].removeprefix("file:").replace("///", "/")
+        assert os.path.exists(made)
+    assert not os.path.exists(made)
