@@ -57,6 +57,14 @@ def merge_equal_times(shifts: DataFrame, keys: list[str]) -> DataFrame:
     return merged.select(*keys, F.when(F.col("_n") == 1, F.col("_own")).otherwise(F.struct(*(values[f].alias(f) for f in SHIFT_FIELDS))).alias("shift"), "source_count")
 
 
+def leading_kind(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The kind of shift that stands for all of a key: any but UNKNOWN, by rank, then by code point; nulls last."""
+    kind = F.col("shift_type")
+    table = F.create_map(*(F.lit(x) for pair in KIND_RANK.items() for x in pair))
+    order = F.struct(kind.isNull(), F.coalesce(kind, F.lit("")) == "UNKNOWN", -F.coalesce(F.try_element_at(table, F.coalesce(kind, F.lit(""))), F.lit(0)), kind)
+    return rows.groupBy(*keys).agg(F.min_by("shift_type", order).alias("shift_type"))
+
+
 def collected_notes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The distinct notes of each key, with single spaces, in order of code points; blank and null ones are left out."""
     notes = F.filter(F.transform(F.coalesce("notes", F.array().cast("array<string>")), lambda n: squeeze(n)), lambda n: n.isNotNull() & (n != ""))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rotaloom.functions import text
-from rotaloom.operators import aggregate, notify, sessions, store, versions
-from rotaloom.plans.catalogue import _FIELDS, _PAYLOAD, _SPACE, NOW, _digest, _entry_boxes
+from rotaloom.operators import aggregate, entries, notify, sessions, store, versions
+from rotaloom.plans.catalogue import _CLEAN, _FIELDS, _PAYLOAD, _PLAIN, _SPACE, NOW, _digest, _entry_boxes
 from rotaloom.plans.pipeline import observed_states, pending_messages
 from rotaloom.sources import payloads
 from rotaloom.sources.tables import table
@@ -157,11 +157,35 @@ def boxes_to_messages(spark: SparkSession, d: str) -> DataFrame:
     return pending_messages(states).select("notification_id", "user_id", _day(), "notification_type", "message", "status")
 
 
+def title_parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entry").where("title is not null").select("entry_id", F.inline(F.array(text.split_title(_C("title"))))).distinct()
+
+
+def address_fields(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "entry").select("entry_id", F.inline(F.array(text.address_parts(_C("address"), _C("location"))))).distinct()
+
+
+def customer_names(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "canonical_shift").where("customer_name is not null").select("customer_name").distinct()
+    return rows.select("customer_name", text.strip_duration(_C("customer_name")).alias("bare"), text.customer_name(_C("customer_name")).alias("shown"))
+
+
+def label_rules(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "canonical_shift").where("raw_type_label is not null").select("raw_type_label").distinct()
+    return rows.select("raw_type_label", entries.ruled_label(text.match_text(_C("raw_type_label"))).alias("label"))
+
+
+def shift_kinds(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "aggregated_shift").select("session_id", "shift_type").distinct()
+    return aggregate.leading_kind(rows, ["session_id"]).select("session_id", "shift_type")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalized_payloads, noisy_payloads, payload_parts, snapshot_faults, stored_snapshots, session_events, event_sessions, failed_sessions, owned_versions, versions_by_hash, version_faults,
         upserted_snapshots, canonical_order, aggregate_order, collected_notes, finalizable_order, object_keys, legacy_boxes, event_keys, named_messages, boxes_to_messages,
+        title_parts, address_fields, customer_names, label_rules, shift_kinds,
     )
 }
 
@@ -181,7 +205,44 @@ _VERSIONED = f"""
 _KEY = lambda v: f"CASE WHEN {v} IS NULL THEN 'null' ELSE " + " || '|' || ".join(f"'{f}:' || coalesce({v}.\"{f}\", 'None')" for f in sorted(_FIELDS)) + " END"
 _NEEDED = [f for f in _FIELDS if f != "raw_type_label"]
 
+_TITLE = lambda v: f"array_to_string(list_transform(string_split({v}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+_SHORT = lambda v: f"trim(regexp_replace(regexp_replace({_SPACE.format(v)}, '(?i)(?:\\s*(?:\\b\\d+\\s*h(?:\\s*\\d+\\s*m)?\\b|\\b\\d+\\s*m(?:in)?\\b))+\\s*$', ''), '\\s+', ' ', 'g'))"
+_TOWN = lambda v: f"(SELECT CASE plain WHEN 'kallered' THEN 'Kållered' WHEN 'molndal' THEN 'Mölndal' WHEN 'goteborg' THEN 'Göteborg' ELSE shown END FROM (SELECT shown, {_PLAIN.format('shown')} AS plain FROM (SELECT {_TITLE(_CLEAN.format(_SPACE.format(v)))} AS shown)))"
+_JOBS = "lunch restid personalmote utbildning stadservice stadning storstadning inledande reklamation omstadning extra fonsterputs kylskapsrengoring ugnsrengoring hemstadning kontor skola nyckelhantering forberedelser disponibel avbokade avokade vard barn tjanstledig sjukdom clickandgo".split()
+_WHOLE = {
+    "thank you for today": "Thank You For Today", "inter tid": "Inter Tid", "personalmote": "Personalmöte", "vard av barn": "Vård Av Barn", "tjanstledig del av dag": "Tjänstledig Del Av Dag", "sjukdom dag 1-14": "Sjukdom Dag 1-14",
+    "sjukdom dag 1 14": "Sjukdom Dag 1-14", "nyckelhantering": "Nyckelhantering", "forberedelser till iss": "Förberedelser Till Iss", "ej disponibel": "Ej Disponibel", "avbokade uppdrag": "Avbokade Uppdrag", "avokade uppdrag": "Avbokade Uppdrag",
+}
+_INSIDE = [
+    ("utbildning handledarhus", "Utbildning Handledarhus"), ("forberedelser till iss", "Förberedelser Till Iss"), ("avbokade uppdrag", "Avbokade Uppdrag"), ("avokade uppdrag", "Avbokade Uppdrag"), ("tjanstledig del av dag", "Tjänstledig Del Av Dag"),
+    ("sjukdom dag 1-14", "Sjukdom Dag 1-14"), ("sjukdom dag 1 14", "Sjukdom Dag 1-14"), ("ej disponibel", "Ej Disponibel"), ("extra stadtillfalle", "Extra Städtillfälle"), ("inledande storstadning", "Inledande Storstädning"), ("reklamation omstadning", "Reklamation Omstädning"),
+    ("kylskapsrengoring", "Kylskåpsrengöring"), ("ugnsrengoring", "Ugnsrengöring"), ("nyckelhantering", "Nyckelhantering"), ("personalmote", "Personalmöte"), ("thank you for today", "Thank You For Today"), ("inter tid", "Inter Tid"), ("vard av barn", "Vård Av Barn"),
+    ("clickandgo", "ClickAndGo"), ("storstadning", "Storstädning"), ("stadservice", "Städservice"), ("reklamation", "Reklamation"), ("fonsterputs", "Fönsterputs"), ("utbildning", "Utbildning"), ("restid", "Restid"), ("lunch", "Lunch"),
+]
+
 ORACLE = {
+    "title_parts": f"""
+        WITH a AS (SELECT DISTINCT entry_id, {_SPACE.format('title')} AS t FROM entry WHERE title IS NOT NULL), b AS (SELECT entry_id, t, string_split({_SHORT('t')}, ' ') AS w FROM a),
+        c AS (SELECT *, coalesce(list_filter(range(2, len(w) + 1), lambda i: list_contains({_JOBS!r}, {_PLAIN.format('w[i]')}))[1], len(w) + 1) AS i FROM b)
+        SELECT DISTINCT entry_id, CASE WHEN regexp_matches(t, '[•·]') THEN trim(regexp_extract(t, '^([^•·]*)[•·]', 1)) ELSE array_to_string(w[1:i - 1], ' ') END AS customer,
+            CASE WHEN regexp_matches(t, '[•·]') THEN {_SHORT("regexp_extract(t, '^[^•·]*[•·](.*)$', 1)")} ELSE array_to_string(w[i:], ' ') END AS job FROM c""",
+    "address_fields": f"""
+        WITH a AS (SELECT DISTINCT entry_id, {_CLEAN.format(_SPACE.format("coalesce(address, '')"))} AS t, {_TOWN("coalesce(location, '')")} AS town FROM entry),
+        b AS (SELECT *, regexp_matches(t, '\\b\\d{{3}}\\s?\\d{{2}}\\b') AS has FROM a),
+        c AS (SELECT *, CASE WHEN has THEN regexp_extract(t, '^(.*?)\\b\\d{{3}}\\s?\\d{{2}}\\b', 1) ELSE t END AS head, CASE WHEN has THEN {_TOWN("regexp_extract(t, '^.*?\\b\\d{3}\\s?\\d{2}\\b(.*)$', 1)")} ELSE '' END AS area,
+            CASE WHEN has THEN regexp_extract(t, '\\b(\\d{{3}})\\s?\\d{{2}}\\b', 1) || ' ' || regexp_extract(t, '\\b\\d{{3}}\\s?(\\d{{2}})\\b', 1) ELSE '' END AS postal_code FROM b),
+        e AS (SELECT *, list_filter(string_split(trim(head), ' '), lambda w: w <> '') AS w FROM c), f AS (SELECT *, coalesce(list_max(list_filter(range(1, len(w) + 1), lambda i: regexp_matches(w[i], '\\p{{Nd}}'))), 0) AS i FROM e),
+        g AS (SELECT *, CASE WHEN i > 0 THEN w[i + 1:] ELSE [] END AS tail FROM f),
+        h AS (SELECT *, CASE WHEN area <> '' THEN area WHEN town <> '' THEN town WHEN len(tail) >= 2 AND length(tail[-2]) > 2 THEN {_TOWN("tail[-2]")} || ' ' || {_TOWN("tail[-1]")} ELSE coalesce({_TOWN("coalesce(tail[-1], '')")}, '') END AS city FROM g)
+        SELECT DISTINCT entry_id, {_TITLE("array_to_string(CASE WHEN i > 0 THEN w[1:i - 1] ELSE w END, ' ')")} AS street, CASE WHEN i > 0 THEN upper(w[i]) ELSE '' END AS street_number, postal_code, CASE WHEN postal_code <> '' AND area = '' THEN city ELSE area END AS postal_area, city FROM h""",
+    "customer_names": f"""
+        WITH a AS (SELECT DISTINCT customer_name, {_SHORT('customer_name')} AS bare FROM canonical_shift WHERE customer_name IS NOT NULL), b AS (SELECT *, list_filter(string_split(lower({_CLEAN.format('bare')}), ' '), lambda w: w <> '') AS w FROM a),
+        c AS (SELECT *, list_filter(w, lambda x, i: NOT (len(w) >= 3 AND i > 1 AND regexp_full_match(x, '\\d{{1,2}}') AND regexp_matches(coalesce(w[i - 1], ''), '\\p{{L}}') AND regexp_matches(coalesce(w[i + 1], ''), '\\p{{L}}'))) AS k FROM b),
+        e AS (SELECT *, list_filter(k, lambda x: x NOT IN ('ab', 'hb', 'stadservice', 'städservice', 'stadtjanst', 'städtjanst', 'stadning', 'städning')) AS o FROM c)
+        SELECT customer_name, bare, {_TITLE("array_to_string(CASE WHEN len(o) > 0 THEN o ELSE k END, ' ')")} AS shown FROM e""",
+    "label_rules": f"WITH a AS (SELECT DISTINCT raw_type_label, {_PLAIN.format(_SPACE.format('raw_type_label'))} AS m FROM canonical_shift WHERE raw_type_label IS NOT NULL) SELECT raw_type_label, CASE " + " ".join(f"WHEN m = '{k}' THEN '{v}'" for k, v in _WHOLE.items()) + " " + " ".join(f"WHEN regexp_matches(m, '\\b{k}\\b') THEN '{v}'" for k, v in _INSIDE) + " END AS label FROM a",
+    "shift_kinds": """SELECT session_id, shift_type FROM (SELECT DISTINCT session_id, shift_type FROM aggregated_shift) a QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN shift_type IS NULL THEN 2 WHEN shift_type = 'UNKNOWN' THEN 1 ELSE 0 END,
+        CASE shift_type WHEN 'WORK' THEN 0 WHEN 'UNAVAILABLE' THEN 1 WHEN 'TRAINING' THEN 2 WHEN 'LEAVE' THEN 3 WHEN 'ADMIN' THEN 4 WHEN 'MEETING' THEN 5 WHEN 'TRAVEL' THEN 6 WHEN 'BREAK' THEN 7 ELSE 8 END, shift_type) = 1""",
     "normalized_payloads": _NORMAL + " SELECT DISTINCT session_id, schedule_date, error, CASE WHEN error IS NULL THEN r::INT END AS seq, CASE WHEN error IS NULL THEN s END AS \"start\", CASE WHEN error IS NULL THEN e END AS \"end\", CASE WHEN error IS NULL THEN t END AS title, CASE WHEN error IS NULL THEN place END AS location FROM x",
     "noisy_payloads": _NORMAL + ' SELECT session_id, schedule_date, r::INT AS seq, s AS "start", e AS "end", t AS title, place AS location FROM x WHERE error IS NULL',
     "payload_parts": """SELECT session_id, strftime(schedule_date, '%Y-%m-%d') AS schedule_date, (row_number() OVER (PARTITION BY session_id, entry.schedule_date ORDER BY entry_id) - 1)::INT AS entry_seq,
