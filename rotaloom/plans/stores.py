@@ -11,6 +11,7 @@ from rotaloom.plans.catalogue import _CLEAN, _FIELDS, _PAYLOAD, _PLAIN, _SPACE,
 from rotaloom.plans.pipeline import observed_states, pending_messages
 from rotaloom.sources import payloads
 from rotaloom.sources.tables import table
+from rotaloom.streaming import idle
 
 _C = F.col
 
@@ -180,12 +181,18 @@ def shift_kinds(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.leading_kind(rows, ["session_id"]).select("session_id", "shift_type")
 
 
+def idle_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions that a stream of images closes by event time, after all of the table was read."""
+    images = spark.readStream.schema("session_id string, captured_at timestamp").option("pathGlobFilter", "entry.parquet").option("recursiveFileLookup", "true").parquet(d)
+    return idle.run_to_end(idle.idle_sessions(images.withColumnRenamed("captured_at", "created_at")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalized_payloads, noisy_payloads, payload_parts, snapshot_faults, stored_snapshots, session_events, event_sessions, failed_sessions, owned_versions, versions_by_hash, version_faults,
         upserted_snapshots, canonical_order, aggregate_order, collected_notes, finalizable_order, object_keys, legacy_boxes, event_keys, named_messages, boxes_to_messages,
-        title_parts, address_fields, customer_names, label_rules, shift_kinds,
+        title_parts, address_fields, customer_names, label_rules, shift_kinds, idle_stream,
     )
 }
 
@@ -221,6 +228,7 @@ _INSIDE = [
 ]
 
 ORACLE = {
+    "idle_stream": "SELECT session_id, count(*) AS images, date_trunc('millisecond', max(captured_at)) AS last_image_at FROM entry WHERE session_id IS NOT NULL AND captured_at IS NOT NULL GROUP BY 1 HAVING epoch_ms(max(captured_at)) + 25000 <= (SELECT epoch_ms(max(captured_at)) - 10000 FROM entry WHERE session_id IS NOT NULL)",
     "title_parts": f"""
         WITH a AS (SELECT DISTINCT entry_id, {_SPACE.format('title')} AS t FROM entry WHERE title IS NOT NULL), b AS (SELECT entry_id, t, string_split({_SHORT('t')}, ' ') AS w FROM a),
         c AS (SELECT *, coalesce(list_filter(range(2, len(w) + 1), lambda i: list_contains({_JOBS!r}, {_PLAIN.format('w[i]')}))[1], len(w) + 1) AS i FROM b)

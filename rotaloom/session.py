@@ -38,16 +38,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     deletes one that is no longer read, ``scratch`` those made inside it, ``clear_work`` all of the session.
     """
     spark = df.sparkSession
-    path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
-    for made in _SCRATCH:
-        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _SCRATCH: list[list[str]] = []
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, deleted with the tables of ``scratch`` and ``clear_work``."""
+    path = f"{_work_folder(spark)}/{uuid.uuid4().hex}"
+    for made in _SCRATCH:
+        made.append(path)
+    return path
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables that ``cut_lineage`` makes inside the block when the block ends; results that read

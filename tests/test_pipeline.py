@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from test_snapshots import FIELDS, shift
 
 from rotaloom.operators import aggregate, dates, diff, entries, layout, notify, sessions, versions
+from rotaloom.streaming import idle
 
 STRUCT = "struct<" + ",".join(f"`{f}`:string" for f in FIELDS) + ">"
 DAY = date(2025, 3, 4)
@@ -328,3 +329,33 @@ def test_scratch_leaves_no_tables(spark):
         made = cut_lineage(spark.range(3)).inputFiles()[0].removeprefix("file:").replace("///", "/")
         assert os.path.exists(made)
     assert not os.path.exists(made)
+
+
+def test_a_quiet_stream_closes_its_last_sessions(spark, tmp_path):
+    import time
+
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("s1", datetime(2025, 1, 1, 8)), ("s2", datetime(2025, 1, 1, 9))], "session_id string, created_at timestamp").write.parquet(source)
+    got = idle.idle_sessions(spark.readStream.schema("session_id string, created_at timestamp").parquet(source), idle_seconds=1, clock="processing")
+    query = got.writeStream.format("memory").queryName("quiet").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
+    for _ in range(80):
+        if spark.table("quiet").count() == 2:
+            break
+        time.sleep(0.5)
+    query.stop()
+    assert {(r.session_id, r.images) for r in spark.table("quiet").collect()} == {("s1", 1), ("s2", 1)}
+
+
+def test_keys_of_python_and_jvm_agree(spark):
+    import pandas as pd
+    from conftest import SMALL
+
+    from rotaloom.functions import identity
+
+    rows = pd.read_parquet(f"{SMALL}/canonical_shift.parquet").fillna("").drop_duplicates("shift_id")
+    seen = spark.createDataFrame(rows[["shift_id", "customer_name", *aggregate.ADDRESS]])
+    x = F.struct(*aggregate.ADDRESS)
+    made = seen.select("shift_id", identity.customer_key(F.col("customer_name")).alias("c"), identity.location_key(F.col("street"), F.col("street_number"), F.col("postal_area"), F.col("city")).alias("l"), aggregate.address_quality(x).alias("q")).toPandas().set_index("shift_id")
+    for r in rows.to_dict("records"):
+        own = made.loc[r["shift_id"]]
+        assert (own.c, own.l, own.q) == (aggregate._customer(r["customer_name"]), aggregate._location(r), aggregate._quality(r)[0])
