@@ -29,7 +29,7 @@ def word_grams(words: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: w != ""), lambda w: _pairs(w))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame | None, on: list[str], need: Sized, left_prefix: Callable[[Column], Column], right_prefix: Callable[[Column], Column], reach: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame | None, on: list[str], need: Sized, left_prefix: Callable[[Column], Column], right_prefix: Callable[[Column], Column], reach: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None, retell: Callable[[Column], Column] | None = None) -> DataFrame:
     """Pairs of sets of the same ``on`` values that share at least ``need`` of their tokens.
 
     ``left`` and ``right``: ``on`` columns, ``id``, ``tokens`` (array of string); without ``right``,
@@ -37,7 +37,7 @@ def overlap_join(left: DataFrame, right: DataFrame | None, on: list[str], need:
     ``right_prefix`` give from a set's size how many of its rarest tokens hold one that any partner
     shares (size - least need + 1). ``reach`` gives from a left id the measures that a partner may have,
     and from a right id its measure, such as a length; it is then a join key and splits the group of a
-    token. Result: the ``on`` columns, ``left_id``, ``right_id``, ``shared``, ``left_size``,
+    token. ``retell`` gives an id's tokens again, so that sets needn't travel through the join. Result: the ``on`` columns, ``left_id``, ``right_id``, ``shared``, ``left_size``,
     ``right_size``; every pair once (of one table ``left_id`` < ``right_id``; with ``reach`` the one of
     less measure is left). Empty or null sets and null tokens match nothing. Ids must be unique within
     ``on``; repeated rows are dropped.
@@ -64,12 +64,13 @@ def overlap_join(left: DataFrame, right: DataFrame | None, on: list[str], need:
 
     def prefixes(ranked: DataFrame, side: str, length: Callable[[Column], Column]) -> DataFrame:
         prefix = F.slice("_g", 1, F.greatest(length(F.size("_g")), F.lit(1)).cast("int"))
-        return ranked.select(*on, F.col("id").alias(f"{side}_id"), F.col("_g").alias(f"_{side}"), F.posexplode(prefix).alias(f"_{side}_at", "_t"))
+        carried = [F.size("_g").alias(f"_{side}_n")] if retell else [F.size("_g").alias(f"_{side}_n"), F.col("_g").alias(f"_{side}")]
+        return ranked.select(*on, F.col("id").alias(f"{side}_id"), *carried, F.posexplode(prefix).alias(f"_{side}_at", "_t"))
 
     l = cut_lineage(ordered(left)) if own else ordered(left)  # read from both sides
     r = prefixes(l if own else ordered(right), "right", right_prefix)
     l = prefixes(l, "left", left_prefix)
-    nl, nr = F.size("_left"), F.size("_right")
+    nl, nr = F.col("_left_n"), F.col("_right_n")
     keys = [*on, "_t"]
     if reach is not None:
         l, r, keys = l.withColumn("_m", F.explode(reach[0](F.col("left_id")))), r.withColumn("_m", reach[1](F.col("right_id"))), [*keys, "_m"]
@@ -78,9 +79,13 @@ def overlap_join(left: DataFrame, right: DataFrame | None, on: list[str], need:
     if own:
         smaller = F.col("left_id") < F.col("right_id")
         fits = (smaller if reach is None else (reach[1](F.col("left_id")) < F.col("_m")) | smaller) & fits
-    shared = F.array_intersect("_left", "_right")  # in order of rarity
-    pairs = l.join(r, keys).where(fits).withColumn("_shared", shared).where((F.col("_shared")[0] == F.col("_t")) & (F.size("_shared") >= least))
-    return pairs.select(*on, "left_id", "right_id", F.size("_shared").alias("shared"), nl.alias("left_size"), nr.alias("right_size"))
+    met = l.join(r, keys).where(fits)
+    if retell:
+        pairs = met.select(*on, "left_id", "right_id", "_left_n", "_right_n").distinct().withColumn("_both", F.size(F.array_intersect(retell(F.col("left_id")), retell(F.col("right_id"))))).where(F.col("_both") >= least)
+    else:
+        shared = met.withColumn("_shared", F.array_intersect("_left", "_right"))  # in order of rarity
+        pairs = shared.where(F.col("_shared")[0] == F.col("_t")).withColumn("_both", F.size("_shared")).where(F.col("_both") >= least)
+    return pairs.select(*on, "left_id", "right_id", F.col("_both").alias("shared"), nl.alias("left_size"), nr.alias("right_size"))
 
 
 def similarity_join(left: DataFrame, right: DataFrame | None, on: list[str], threshold: float) -> DataFrame:
@@ -106,13 +111,14 @@ def edit_join(left: DataFrame, right: DataFrame | None, on: list[str], most: Cal
     most. Without ``right``, pairs of ``left``, the shorter one left. Texts shorter than three letters, or
     of fewer different pairs than edits may change, may be missed. Pairs aren't verified.
     """
-    sets = lambda df: df.select(*on, "id", grams(F.translate("id", "1i", "ll")).alias("tokens"))
+    tokens = lambda w: grams(F.translate(w, "1i", "ll"))
+    sets = lambda df: df.select(*on, "id", tokens(F.col("id")).alias("tokens"))
     shorter = F.when(F.length("left_id") < F.length("right_id"), F.col("left_id")).otherwise(F.col("right_id"))
     need = lambda nl, nr: F.greatest(F.greatest(nl, nr) - 3 * most(shorter), F.lit(1))
     prefix = lambda _: 3 * most(F.col("id")) + 1
     least = (lambda w: F.length(w)) if right is None else (lambda w: F.greatest(F.length(w) - most(w), F.lit(1)))
     reach = (lambda w: F.sequence(least(w), F.length(w) + most(w)), lambda w: F.length(w))
-    return overlap_join(sets(left), None if right is None else sets(right), on, need, prefix, prefix, reach).select(*on, "left_id", "right_id")
+    return overlap_join(sets(left), None if right is None else sets(right), on, need, prefix, prefix, reach, tokens).select(*on, "left_id", "right_id")
 
 
 def best_match(pairs: DataFrame, by: list[str], score: str, *ties: str) -> DataFrame:
