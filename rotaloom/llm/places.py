@@ -141,13 +141,14 @@ def _right_towns(parsed: DataFrame) -> DataFrame:
     return best_match(pairs.select("_t", "_near", "_m").distinct().where(_one_edit("_t", "_near")), ["_t"], "_m", "_near").select("_t", "_near")
 
 
-def place_links(entries: DataFrame, hot: int = 1000) -> DataFrame:
-    """Pairs of entries at the same street, house number and town.
+def place_classes(entries: DataFrame) -> DataFrame:
+    """The place of each entry: entries at the same street, house number and town.
 
     ``entries``: ``entry_id`` (number), ``address``, ``location`` and, from a second reading of the same
     place, ``street``, ``street_number``, ``postal_code``, ``postal_area``, ``city``; any may be null.
-    Result: ``entry_id_a`` < ``entry_id_b``, distinct. Repeated rows count once; entries without a
-    street, a house number, or both town and postal code, have no pairs, nor have null ids.
+    Result: ``entry_id``, ``place`` (a number, the same for entries at one place). Repeated rows count
+    once; entries without a street, a house number, or both town and postal code, have no row, nor have
+    null ids.
 
     Both readings are expanded into all plausible street forms (short kinds of street written out,
     accents, letter case, spaces and read errors removed) and localities (towns, postal codes; the
@@ -157,8 +158,7 @@ def place_links(entries: DataFrame, hot: int = 1000) -> DataFrame:
     entrances and c/o are taken out. Entries with equal expansions form one variant. Hashes of street
     stem (whole and with any one letter left out, so that a typo on either side still meets), kind of
     street, house number and locality are equi-joined: as the house number is part of every hash,
-    conflicting numbers never meet. Variants that share a hash are one place (components). Pairs are only
-    written out at the end; places of more than ``hot`` entries are spread over several tasks.
+    conflicting numbers never meet. Variants that share a hash are one place (components).
     """
     fields = ["address", "location", "street", "street_number", "postal_code", "postal_area", "city"]
     rows = entries.where(F.col("entry_id").isNotNull()).select("entry_id", *fields).dropDuplicates(["entry_id"])
@@ -172,7 +172,16 @@ def place_links(entries: DataFrame, hot: int = 1000) -> DataFrame:
     least = keys.groupBy("_k").agg(F.min("variant").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     links = keys.join(least, "_k").where("variant != _least").select(F.col("variant").alias("a"), F.col("_least").alias("b")).distinct()
     roots = components(links).withColumnRenamed("node", "variant")
-    placed = parsed.select("entry_id", "variant").join(roots, "variant", "left").select("entry_id", F.coalesce("root", "variant").alias("_at"))
+    return parsed.select("entry_id", "variant").join(roots, "variant", "left").select("entry_id", F.coalesce("root", "variant").alias("place"))
+
+
+def place_links(entries: DataFrame, hot: int = 1000) -> DataFrame:
+    """Pairs of entries at the same street, house number and town: ``entry_id_a`` < ``entry_id_b``, distinct.
+
+    ``entries`` and what has no pairs: as for ``place_classes``, which finds the places. Pairs are only
+    written out here; places of more than ``hot`` entries are spread over several tasks.
+    """
+    placed = place_classes(entries).withColumnRenamed("place", "_at")
     sizes = placed.groupBy("_at").agg(F.ceil(F.count("*") / hot).cast("int").alias("_parts"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     placed = placed.join(sizes, "_at")
     left = placed.select("_at", F.col("entry_id").alias("entry_id_a"), F.pmod(F.xxhash64("entry_id"), F.col("_parts")).cast("int").alias("_part"))

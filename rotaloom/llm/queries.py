@@ -11,7 +11,7 @@ from rotaloom.llm.leakage import leaked_items, retold_items
 from rotaloom.llm.names import name_links
 from rotaloom.llm.packing import example_sizes, pack, token_counts
 from rotaloom.llm.personal import find_personal
-from rotaloom.llm.places import place_links
+from rotaloom.llm.places import place_classes, place_links
 from rotaloom.llm.survivors import consensus_values, survivors
 from rotaloom.sources.tables import table
 
@@ -46,9 +46,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entries at one place, judged by the entry and the shift read from it."""
+    return place_links(_read_entries(spark, sf_dir))
+
+
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each entry, told by the least entry there, and the number of entries."""
+    placed = place_classes(_read_entries(spark, sf_dir))
+    told = placed.groupBy("place").agg(F.min("entry_id").alias("place_entry"), F.count("*").alias("entries"))
+    return placed.join(told, "place").select("entry_id", "place_entry", "entries")
+
+
+def _read_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "entry").select("entry_id", "address", "location")
     shifts = table(spark, sf_dir, "canonical_shift").where("entry_id is not null").select("entry_id", "street", "street_number", "postal_code", "postal_area", "city")
-    return place_links(entries.join(shifts, "entry_id", "left"))
+    return entries.join(shifts, "entry_id", "left")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +89,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "kind", "value").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_consensus": p3_consensus, "p5_found": p5_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_examples": p7_examples, "p8_found": p8_found, "p8_retold": p8_retold, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_consensus": p3_consensus, "p5_found": p5_found, "p6_found": p6_found, "p6_places": p6_places, "p7_containers": p7_containers, "p7_examples": p7_examples, "p8_found": p8_found, "p8_retold": p8_retold, "p9_found": p9_found}
 _STAND_INS = "'ingen uppgift', 'ej angivet', 'ej angiven', 'ej känd', 'ej känt', 'saknas', 'okänd', 'okänt', 'unknown', 'null', 'none', 'nil', 'nan', 'tbd', 'tba', 'todo', 'n/a', 'n.a.', 'na', 'xxx', 'xx', 'x', 'missing', 'empty', 'test', 'ingen', 'inget', 'uppgift saknas', 'not available'"
 
 
