@@ -143,7 +143,7 @@ def map_labels(values: DataFrame, entries: DataFrame, glossary: DataFrame | None
 
     bare = lambda df, c: df.select(F.col(c).alias("_o"), F.regexp_replace(c, "[. ]", "").alias("id")).where("id != ''")
     typed, wanted = bare(forms, "form"), bare(listed, "name")
-    near = edit_join(typed.select("id").distinct(), wanted.select("id").distinct(), [], lambda w: F.when(F.length(w) < 4, 0).when(F.length(w) < 6, 1).when(F.length(w) < 14, 2).otherwise(3))
+    near = edit_join(typed.select("id").distinct(), wanted.select("id").distinct(), [], lambda w: F.when(F.length(w) < 4, 0).when(F.length(w) < 6, 1).when(F.length(w) < 14, 2).otherwise(3), top=3)
     once = lambda df: df.select("id", word_grams(F.array("id")).alias("tokens")).distinct()
     begun = overlap_join(once(typed), once(wanted), [], lambda nl, nr: F.greatest(nl - 3, F.lit(1)), lambda _: F.lit(4), lambda n: n)
     pairs = near.unionByName(begun.select("left_id", "right_id")).join(typed.withColumnsRenamed({"id": "left_id", "_o": "form"}), "left_id")

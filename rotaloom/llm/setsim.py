@@ -29,7 +29,7 @@ def word_grams(words: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: w != ""), lambda w: _pairs(w))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame | None, on: list[str], need: Sized, left_prefix: Callable[[Column], Column], right_prefix: Callable[[Column], Column], reach: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None, retell: Callable[[Column], Column] | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame | None, on: list[str], need: Sized, left_prefix: Callable[[Column], Column], right_prefix: Callable[[Column], Column], reach: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None, retell: Callable[[Column], Column] | None = None, quick: Column | None = None) -> DataFrame:
     """Pairs of sets of the same ``on`` values that share at least ``need`` of their tokens.
 
     ``left`` and ``right``: ``on`` columns, ``id``, ``tokens`` (array of string); without ``right``,
@@ -37,7 +37,8 @@ def overlap_join(left: DataFrame, right: DataFrame | None, on: list[str], need:
     ``right_prefix`` give from a set's size how many of its rarest tokens hold one that any partner
     shares (size - least need + 1). ``reach`` gives from a left id the measures that a partner may have,
     and from a right id its measure, such as a length; it is then a join key and splits the group of a
-    token. ``retell`` gives an id's tokens again, so that sets needn't travel through the join. Result: the ``on`` columns, ``left_id``, ``right_id``, ``shared``, ``left_size``,
+    token. ``retell`` gives an id's tokens again, so that sets needn't travel through the join; ``quick`` is
+    a cheap condition on both ids that every pair wanted meets, tried before the count. Result: the ``on`` columns, ``left_id``, ``right_id``, ``shared``, ``left_size``,
     ``right_size``; every pair once (of one table ``left_id`` < ``right_id``; with ``reach`` the one of
     less measure is left). Empty or null sets and null tokens match nothing. Ids must be unique within
     ``on``; repeated rows are dropped.
@@ -81,7 +82,7 @@ def overlap_join(left: DataFrame, right: DataFrame | None, on: list[str], need:
         fits = (smaller if reach is None else (reach[1](F.col("left_id")) < F.col("_m")) | smaller) & fits
     met = l.join(r, keys).where(fits)
     if retell:
-        pairs = met.select(*on, "left_id", "right_id", "_left_n", "_right_n").distinct().withColumn("_both", F.size(F.array_intersect(retell(F.col("left_id")), retell(F.col("right_id"))))).where(F.col("_both") >= least)
+        pairs = met.select(*on, "left_id", "right_id", "_left_n", "_right_n").distinct().where(F.lit(True) if quick is None else quick).withColumn("_both", F.size(F.array_intersect(retell(F.col("left_id")), retell(F.col("right_id"))))).where(F.col("_both") >= least)
     else:
         shared = met.withColumn("_shared", F.array_intersect("_left", "_right"))  # in order of rarity
         pairs = shared.where(F.col("_shared")[0] == F.col("_t")).withColumn("_both", F.size("_shared")).where(F.col("_both") >= least)
@@ -101,9 +102,9 @@ def similarity_join(left: DataFrame, right: DataFrame | None, on: list[str], thr
     return pairs.select(*on, "left_id", "right_id", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)
 
 
-def edit_join(left: DataFrame, right: DataFrame | None, on: list[str], most: Callable[[Column], Column]) -> DataFrame:
+def edit_join(left: DataFrame, right: DataFrame | None, on: list[str], most: Callable[[Column], Column], top: int = 2) -> DataFrame:
     """Candidate pairs of texts (``id``) of the same ``on`` values within the edits that ``most`` tolerates
-    in the shorter one (a number that doesn't fall with length): ``left_id``, ``right_id``.
+    in the shorter one (a number that doesn't fall with length, ``top`` at most): ``left_id``, ``right_id``.
 
     Texts are sets of pairs of letters, start and end marked, digit one, i and l read as one. An edit (a
     swap too) changes at most three pairs, so texts within d edits share all but 3 d of either set: the
@@ -111,14 +112,16 @@ def edit_join(left: DataFrame, right: DataFrame | None, on: list[str], most: Cal
     most. Without ``right``, pairs of ``left``, the shorter one left. Texts shorter than three letters, or
     of fewer different pairs than edits may change, may be missed. Pairs aren't verified.
     """
-    tokens = lambda w: grams(F.translate(w, "1i", "ll"))
+    read = lambda w: F.translate(w, "1i", "ll")
+    tokens = lambda w: grams(read(w))
+    quick = F.levenshtein(read("left_id"), read("right_id"), 2 * top) >= 0  # a swap counts twice there
     sets = lambda df: df.select(*on, "id", tokens(F.col("id")).alias("tokens"))
     shorter = F.when(F.length("left_id") < F.length("right_id"), F.col("left_id")).otherwise(F.col("right_id"))
     need = lambda nl, nr: F.greatest(F.greatest(nl, nr) - 3 * most(shorter), F.lit(1))
     prefix = lambda _: 3 * most(F.col("id")) + 1
     least = (lambda w: F.length(w)) if right is None else (lambda w: F.greatest(F.length(w) - most(w), F.lit(1)))
     reach = (lambda w: F.sequence(least(w), F.length(w) + most(w)), lambda w: F.length(w))
-    return overlap_join(sets(left), None if right is None else sets(right), on, need, prefix, prefix, reach, tokens).select(*on, "left_id", "right_id")
+    return overlap_join(sets(left), None if right is None else sets(right), on, need, prefix, prefix, reach, tokens, quick).select(*on, "left_id", "right_id")
 
 
 def best_match(pairs: DataFrame, by: list[str], score: str, *ties: str) -> DataFrame:
