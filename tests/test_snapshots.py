@@ -6,7 +6,7 @@ import pandas as pd
 from conftest import SMALL
 from test_intervals import clock
 
-from rotaloom.operators.snapshots import snapshot_changes
+from rotaloom.operators.snapshots import key_ordinals, snapshot_changes
 from rotaloom.plans.problems import p4_found
 
 FIELDS = ["start", "end", "customer_name", "customer_fingerprint", "street", "street_number", "postal_code", "postal_area", "city", "location_fingerprint", "shift_type", "raw_type_label"]
@@ -106,6 +106,24 @@ def test_random_states(spark):
     assert len(got) == len({tuple(r) for r in got})
 
 
+def test_ordinals_last(spark):
+    """Numbers given once stay when snapshots come later, and the differences are those found without a table."""
+    random.seed(12)
+    rows = []
+    for i in range(40):
+        payload = [shift(random.choice("lmn"), random.choice("cdef")) for _ in range(random.randint(0, 4))]
+        rows.append((i, random.choice([1, None]), date(2025, 1, 1), payload, datetime(2025, 1, 1) + timedelta(minutes=i), "x"))
+    early, whole = spark.createDataFrame(rows[:15], SCHEMA), spark.createDataFrame(rows, SCHEMA)
+    told = lambda t: {(r.user_id, r.schedule_date, r["loc"], r.cust): r.ordinal for r in t.collect()}
+    first, later = key_ordinals(early), key_ordinals(whole, key_ordinals(early))
+    assert told(first).items() <= told(later).items() and len(set(map(str, told(later)))) == len(told(later))
+    for user in (1, None):
+        own = sorted(o for (u, *_), o in told(later).items() if u == user)
+        assert own == list(range(len(own)))
+    assert {tuple(r) for r in snapshot_changes(whole, later).collect()} == {tuple(r) for r in snapshot_changes(whole).collect()} != set()
+    assert key_ordinals(early.limit(0)).count() == 0
+
+
 def test_p4_found(spark):
     t = pd.read_parquet(f"{SMALL}/day_snapshot.parquet")
     rows = [(r.snapshot_id, r.user_id, r.schedule_date, None if r.snapshot_payload is None else list(r.snapshot_payload), r.updated_at) for r in t.itertuples()]
