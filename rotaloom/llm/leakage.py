@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,16 +116,16 @@ _NUMBER, _UNIT, _NAME = np.uint64(11), np.uint64(12), np.uint64(13)
 
 
 def windows(texts: list[str], common: np.ndarray, units: np.ndarray, width: int, wanted: np.ndarray | None = None, fixed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template hash, slot hash, pattern hash and text number of every window of ``width`` words within one text.
+    """Template hash, slot hash, pattern and text number of every window of ``width`` words within one text.
 
     A template has typed placeholders for numbers, for words of ``units`` and for names (words that
     aren't in the sorted ``common``); the slots are the words that the placeholders stand for; the pattern
-    says which slots hold the same word. ``wanted`` (bits by the template's lowest bits) drops windows
+    has a sign for each word, the place (from one) of the first slot that holds the same word. ``wanted`` (bits by the template's lowest bits) drops windows
     that can't match, ``fixed`` those with fewer words that are no placeholders."""
     value, number, owner = words(texts)
     none = np.zeros(0, np.uint64)
     if len(value) < width:
-        return none, none, none, np.zeros(0, np.int64)
+        return none, none, np.zeros(0, f"U{width}"), np.zeros(0, np.int64)
     unit = np.isin(value, units)
     if len(common):
         place = np.minimum(np.searchsorted(common, value), len(common) - 1)
@@ -144,16 +144,16 @@ def windows(texts: list[str], common: np.ndarray, units: np.ndarray, width: int,
         keep &= (wanted[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
     at = np.flatnonzero(keep)
     slots = np.where(slot, value, np.uint64(0))
-    filled, pattern = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    filled, pattern = np.zeros(len(at), np.uint64), np.zeros((len(at), width), np.uint32)
     with np.errstate(over="ignore"):
         for k in range(width):
             own = slots[at + k]
             filled = filled * _B1 + own
-            first = np.full(len(at), k, np.uint64)
+            first = np.full(len(at), k, np.uint32)
             for j in range(k - 1, -1, -1):
-                first = np.where(slots[at + j] == own, np.uint64(j), first)
-            pattern = pattern * _B2 + np.where(own == 0, np.uint64(width), first)
-    return template[at], _mix(filled), _mix(pattern), owner[at]
+                first = np.where(slots[at + j] == own, np.uint32(j), first)
+            pattern[:, k] = np.where(own == 0, np.uint32(k), first) + np.uint32(1)
+    return template[at], _mix(filled), pattern.view(f"U{width}")[:, 0], owner[at]
 
 
 def _hashes(texts: list[str]) -> np.ndarray:
@@ -204,10 +204,10 @@ def _marked(documents: DataFrame, items: DataFrame, width: int, share: float, fi
                 for lo in range(0, len(batch), 200):
                     part = batch.iloc[lo : lo + 200]
                     t, s, p, owner = windows([readable(x) for x in part.text], common, units, width, wanted, fixed)
-                    out = pd.DataFrame({key: part[key].to_numpy()[owner], "t": t.view(np.int64), "s": s.view(np.int64), "p": p.view(np.int64)})
+                    out = pd.DataFrame({key: part[key].to_numpy()[owner], "t": t.view(np.int64), "s": s.view(np.int64), "p": p.astype(object)})
                     yield out.drop_duplicates()
 
-        return source.mapInPandas(run, T.StructType([T.StructField(key, source.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in "tsp")]))
+        return source.mapInPandas(run, T.StructType([T.StructField(key, source.schema[key].dataType), T.StructField("t", T.LongType()), T.StructField("s", T.LongType()), T.StructField("p", T.StringType())]))
 
     marks = cut_lineage(scan(asked, "item_id", None).distinct())
     return marks, scan(_told(documents, "doc_id"), "doc_id", _flags(marks, most_bits))
@@ -234,19 +234,35 @@ def leaked_items(documents: DataFrame, items: DataFrame, width: int = WINDOW, sh
     return found.select("doc_id", "t", "s").join(marks.select("item_id", "t", "s"), ["t", "s"]).select("doc_id", "item_id").distinct()
 
 
-def retold_items(documents: DataFrame, items: DataFrame, width: int = WINDOW, share: float = 0.03, fixed: int = 5, least: int = 4, most_bits: int = 30) -> DataFrame:
+def _consistent(found: Column, asked: Column, width: int) -> Column:
+    """Whether slots that are equal in the pattern ``asked`` are equal in ``found``; further ones may be."""
+    sign = lambda p, k: F.substring(p, k, 1)
+    return F.forall(F.sequence(F.lit(1), F.lit(width)), lambda k: sign(found, F.ascii(sign(asked, k))) == sign(found, k))
+
+
+def retold_items(documents: DataFrame, items: DataFrame, width: int = WINDOW, share: float = 0.03, fixed: int = 5, least: int = 4, most_bits: int = 30, each: bool = False) -> DataFrame:
     """Documents that tell an item's question with other numbers, names or units.
 
-    Inputs as for ``leaked_items``. Result: ``doc_id``, ``item_id``, ``windows``: items of one template are
-    one class, told by its least ``item_id``; ``windows`` is the number of the class's template windows in
-    the document, at least ``least`` (so ``width + least - 1`` words), of which none holds the very words of
-    an item. Windows need at least ``fixed`` words that are no placeholders.
+    Inputs as for ``leaked_items``. Result: ``doc_id``, ``item_id``, ``windows``: items of the same windows,
+    as to templates and equal slots, are one class, told by its least ``item_id``, or with ``each`` by a
+    row for each of its items; ``windows`` is the number of the class's windows that the document retells,
+    at least ``least`` (so ``width + least - 1`` words). Windows need at least ``fixed`` words that are no
+    placeholders. A window that items of several classes have counts for each class.
 
-    A window matches if its template is an item's and its slots are consistent: of the same types in the
-    same places, and equal where the item's are equal, whatever the values.
+    A document's window retells an item's if its template is the same and its slots are consistent: of the
+    same types in the same places, and equal where the item's are equal, whatever the values (so they may be
+    equal where the item's differ). The very words of any item retell none; they neither count nor keep
+    others from counting, as a part without placeholders reads the same in a retold question.
     """
     marks, found = _marked(documents, items, width, share, fixed, most_bits)
-    classes = marks.groupBy("t", "p").agg(F.min("item_id").alias("item_id"))
-    told = found.join(classes, ["t", "p"]).join(marks.select("t", "s").distinct().withColumn("_same", F.lit(1)), ["t", "s"], "left")
-    counted = told.groupBy("doc_id", "item_id").agg(F.count_distinct("t", "p").cast("int").alias("windows"), F.max("_same").alias("_same"))
-    return counted.where((F.col("windows") >= least) & F.col("_same").isNull()).select("doc_id", "item_id", "windows")
+    had = marks.select("item_id", "t", F.col("p").alias("_asked")).distinct()
+    told = [F.bit_xor(F.xxhash64("t", "_asked")).alias("_x"), F.bit_xor(F.xxhash64("_asked", "t")).alias("_y"), F.count("*").alias("_n")]  # of a set of windows, in any order
+    sets = cut_lineage(had.groupBy("item_id").agg(*told))
+    first = sets.groupBy("_x", "_y", "_n").agg(F.min("item_id").alias("item_id"))
+    classes = had.join(first.select("item_id"), "item_id")
+    other = found.join(marks.select("t", "s").distinct(), ["t", "s"], "left_anti")
+    met = other.select("doc_id", "t", "p").join(classes, "t").where(_consistent(F.col("p"), F.col("_asked"), width))
+    counted = met.groupBy("doc_id", "item_id").agg(F.count_distinct("t", "_asked").cast("int").alias("windows")).where(F.col("windows") >= least)
+    if each:
+        counted = counted.join(first, "item_id").drop("item_id").join(sets, ["_x", "_y", "_n"])
+    return counted.select("doc_id", "item_id", "windows")

@@ -81,7 +81,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_retold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation questions that stand in documents with other numbers, names or units."""
-    return retold_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"))
+    return retold_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_item").select("item_id", "text"), each=True)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,25 @@ def test_retold_questions(spark):
     assert retold_items(d, i.limit(0)).count() == 0 and retold_items(d.limit(0), i).count() == 0
 
 
+def test_retold_questions_lose_no_pair(spark):
+    """Windows shared with other items count for each, equal values may differ in the item, parts without
+    placeholders may be the same, and each item of a class can be asked for."""
+    start = "a farmer carries {a} baskets of apples to the market and sells {b} jars of honey before noon"  # seven windows
+    rest = " while a second farmer waits at the gate with {c} empty carts until the evening bell has rung"
+    plain = " and then both of them walk home along the river without saying a single word to their old neighbours"
+    other = " so that every horse of the village can drink {c} buckets of water from the deep well"
+    texts = {1: (start + other).format(a=1, b=2, c=3), 2: (start + rest).format(a=4, b=5, c=6), 3: (start + plain).format(a=7, b=8), 4: (start + plain).format(a=31, b=32), 8: ("hm" + rest + other).format(c=9)}
+    documents = {1: "seen: " + start.format(a=50, b=60), 2: start.format(a=50, b=50), 3: (start + plain).format(a=50, b=60), 4: texts[4], 5: (start + rest).format(a=4, b=5, c=66), 6: None}
+    d = spark.createDataFrame(list(documents.items()), "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, t) for k, t in texts.items()] + [(9, None)], "item_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.item_id): r.windows for r in retold_items(d, i, share=0.3).collect()}
+    whole = {(r.doc_id, r.item_id): r.windows for r in retold_items(d, i, share=0.3, each=True).collect()}
+    assert {x for x in got if x[0] < 4} == {(k, n) for k in (1, 2, 3) for n in (1, 2, 3)} and not {4, 6} & {x[0] for x in got}
+    assert got[1, 1] == got[1, 2] == got[2, 2] == 7 and got[3, 3] > got[3, 1]
+    assert (got[5, 2], got[5, 8]) == (9, 7) and {x[1] for x in got if x[0] == 5} == {2, 8}  # around the new number
+    assert {x: n for x, n in whole.items() if x[1] != 4} == got and {x: n for x, n in whole.items() if x[1] == 4} == {(k, 4): n for (k, m), n in got.items() if m == 3}
+
+
 def test_p8_equals_brute_force(spark):
     from rotaloom.llm.queries import p8_found
 
