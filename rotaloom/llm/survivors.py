@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,22 +79,46 @@ def aligned(centre: list[str], tokens: list[str]) -> list[tuple[int, int, str]]:
     return out
 
 
+@lru_cache(4096)
+def _matcher(b: str) -> SequenceMatcher:
+    return SequenceMatcher(None, "", b, False)
+
+
+@lru_cache(1 << 18)
+def _alike(a: str, b: str) -> float:
+    """Letters' similarity of two tokens, and a little for being a pair."""
+    if set(a).isdisjoint(b):
+        return 0.01
+    matcher = _matcher(b)
+    matcher.set_seq1(a)
+    return matcher.ratio() + 0.01
+
+
 def _most_alike(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of places in ``b`` and ``a``, in order in both, with the greatest sum of letters' similarity; one by
-    one where that would take over a million comparisons."""
-    if len(a) == len(b) or len(a) * len(b) > 1_000_000:
-        return [(k, k) for k in range(min(len(a), len(b)))]
-    alike = [[SequenceMatcher(None, x, y, False).ratio() + 0.01 for y in b] for x in a]
-    best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + alike[i][j])
+    """Pairs of places in ``b`` and ``a``, in order in both, with the greatest sum of letters' similarity.
+
+    Of equal sums the one with the earliest pair, then the one that leaves out a token of ``a`` first. The
+    same at any size: different tokens are compared with each other, and a quarter of a byte is kept for
+    each two places."""
+    if len(a) == len(b) == 1:
+        return [(0, 0)]  # all there is
+    words = list(dict.fromkeys(a))
+    number = {w: n for n, w in enumerate(words)}
+    at = np.array([number[w] for w in a])
+    row, ways = np.zeros(len(a) + 1), []
+    for y in reversed(b):
+        paired = row[1:] + np.array([_alike(x, y) for x in words])[at]
+        row = np.append(np.maximum(row[:-1], paired), 0.0)  # without or with y, then without tokens of a
+        row = np.maximum.accumulate(row[::-1])[::-1]
+        ways.append((np.packbits(row[:-1] == paired), np.packbits(row[:-1] == row[1:])))
+    ways.reverse()
+    said = lambda bits, i: bits[i >> 3] >> (7 - (i & 7)) & 1
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
-        if best[i][j] == best[i + 1][j + 1] + alike[i][j]:
+        if said(ways[j][0], i):
             out.append((j, i))
             i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
+        elif said(ways[j][1], i):
             i += 1
         else:
             j += 1

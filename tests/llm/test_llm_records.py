@@ -65,6 +65,15 @@ def test_alignment():
     assert aligned(["a", "b"], ["a", "x", "y"]) == [(0, 0, "a"), (1, 0, "x"), (2, 1, "y")] and aligned(["anna", "bergh"], ["anna", "m.", "berg"]) == [(0, 0, "anna"), (1, 1, "m."), (1, 0, "berg")] and aligned([], ["a"]) == [(0, 1, "a")]
 
 
+def test_alignment_does_not_depend_on_size():
+    """The most alike tokens are aligned in runs of equal length, and in those of over a million comparisons."""
+    assert aligned(["maria", "berg"], ["bergh", "x"]) == [(1, 0, "bergh"), (2, 1, "x")]
+    assert aligned(["ek", "ab", "berg"], ["bergh", "oo", "uu"])[0] == (2, 0, "bergh")
+    words = [a + b for a in "bcdfg" for b in "aeiou"]
+    a, b = [words[k % 25] + "x" for k in range(1_100)], ["zz", *(words[k % 25] + "y" for k in range(1_100))]
+    assert aligned(a, b) == [(0, 1, "zz"), *((k, 0, y) for k, y in enumerate(b[1:]))]
+
+
 def test_consensus_values_equal_brute_force(spark):
     random.seed(4)
     words = ["anna", "berg", "bergg", "maria", "al.", "ab"]
