@@ -103,8 +103,9 @@ def _told(forms: DataFrame, glossary: DataFrame) -> DataFrame:
     near = edit_join(typed.where(F.length("id") > 3), known.select(F.col("word").alias("id")).where(F.length("id") > 3), [], most)
     near = near.withColumn("_d", _edits("left_id", "right_id")).where(F.col("_d") <= F.least(most(F.col("left_id")), most(F.col("right_id"))))
     same = typed.join(known.select(F.col("word").alias("id")), "id").select(F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.lit(0).alias("_d"))
-    least = near.unionByName(same).groupBy("left_id").agg(F.min("_d").alias("_least"))
-    meant = near.unionByName(same).join(least, "left_id").where("_d = _least").join(known, F.col("right_id") == known.word)
+    near = cut_lineage(near.unionByName(same))  # read twice below
+    least = near.groupBy("left_id").agg(F.min("_d").alias("_least"))
+    meant = near.join(least, "left_id").where("_d = _least").join(known, F.col("right_id") == known.word)
     meant = meant.groupBy(F.col("left_id").alias("_w")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("word", "senses"))), lambda x: x["senses"])).alias("senses"))
     words = split.join(meant, "_w", "left").groupBy("form").agg(F.array_sort(F.collect_list(F.struct("_at", "_w", "senses"))).alias("_l"))
     senses = F.array_max(F.transform("_l", lambda x: F.greatest(F.size(x["senses"]), F.lit(0))))
@@ -128,27 +129,28 @@ def map_labels(values: DataFrame, entries: DataFrame, glossary: DataFrame | None
     all letter pairs but three (abbreviations and cut-off labels), are joined by the same filter with
     those bounds, as short ones may lie below ``floor``. Jaccard is computed exactly for every candidate;
     it stands if it reaches ``threshold`` or is the entry but for typos, dots or a missing end
-    (``closeness``). The best by Jaccard is kept, an entry with typos before another wording. Values are counted out before the join, so a hot value
-    costs one row.
+    (``closeness``). The best by Jaccard is kept, an entry with typos before another wording. Values are
+    counted out before the join, so a hot value costs one row. Each join is written and a query of its own, as
+    the driver holds the plan of a query, again for each change while it runs, at once.
     """
     values = values.where(F.col("value").isNotNull()).select("value").distinct().select("value", _plain.asNondeterministic()("value").alias("form"))
     values = cut_lineage(values)  # one row for each spelling; read several times below
-    forms = values.select("form").distinct()
+    forms = cut_lineage(values.select("form").distinct())
     told = cut_lineage(_told(forms, glossary_table(values) if glossary is None else glossary))
     read = told.select(F.struct("form", "reading").alias("id"), word_grams(F.col("words")).alias("tokens"))
     listed = entries.where(F.col("entry").isNotNull() & F.col("entry_id").isNotNull()).select(F.col("entry_id").cast("int").alias("entry_id"), _plain("entry").alias("name"))
-    listed = listed.groupBy("name").agg(F.min("entry_id").alias("entry_id"))
+    listed = cut_lineage(listed.groupBy("name").agg(F.min("entry_id").alias("entry_id")))
     sets = listed.select(F.col("name").alias("id"), word_grams(F.filter(F.split("name", "[ .]"), lambda w: (w != "") & ~w.isin({plain(x) for x in FILLERS}))).alias("tokens"))
-    alike = similarity_join(read, sets, [], floor).select(F.col("left_id.form").alias("form"), F.col("right_id").alias("name"))
+    alike = cut_lineage(similarity_join(read, sets, [], floor).select(F.col("left_id.form").alias("form"), F.col("right_id").alias("name")))
 
     bare = lambda df, c: df.select(F.col(c).alias("_o"), F.regexp_replace(c, "[. ]", "").alias("id")).where("id != ''")
     typed, wanted = bare(forms, "form"), bare(listed, "name")
     near = edit_join(typed.select("id").distinct(), wanted.select("id").distinct(), [], lambda w: F.when(F.length(w) < 4, 0).when(F.length(w) < 6, 1).when(F.length(w) < 14, 2).otherwise(3), top=3)
     once = lambda df: df.select("id", word_grams(F.array("id")).alias("tokens")).distinct()
     begun = overlap_join(once(typed), once(wanted), [], lambda nl, nr: F.greatest(nl - 3, F.lit(1)), lambda _: F.lit(4), lambda n: n)
-    pairs = near.unionByName(begun.select("left_id", "right_id")).join(typed.withColumnsRenamed({"id": "left_id", "_o": "form"}), "left_id")
+    pairs = cut_lineage(near).unionByName(cut_lineage(begun.select("left_id", "right_id"))).join(typed.withColumnsRenamed({"id": "left_id", "_o": "form"}), "left_id")
     pairs = pairs.join(wanted.withColumnsRenamed({"id": "right_id", "_o": "name"}), "right_id").select("form", "name")
-    pairs = alike.unionByName(pairs).distinct()
+    pairs = cut_lineage(alike.unionByName(pairs).distinct())
 
     own = read.select(F.col("id.form").alias("form"), "tokens").groupBy("form").agg(F.collect_set("tokens").alias("_readings"))
     met = pairs.join(own, "form", "left").join(sets.select(F.col("id").alias("name"), F.col("tokens").alias("_entry")), "name")

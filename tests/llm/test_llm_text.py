@@ -65,6 +65,15 @@ def test_labels_and_words_that_no_list_holds(spark):
     assert {r.value: r.entry_id for r in map_labels(df, entries, own).collect()} == {**values, "riding lesson": 3}
 
 
+def test_the_plan_of_labels_stays_small(spark):
+    """The driver holds a plan of its joins again for each of their changes: they are queries of their own."""
+    entries = spark.createDataFrame([(1, "Golvvård")], "entry_id int, entry string")
+    mapped = map_labels(spark.createDataFrame([("golvvard",)], "value string"), entries)
+    plan = mapped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 20, plan.count("Exchange")
+    assert [(r.entry_id, r.score) for r in mapped.collect()] == [(1, 1.0)]
+
+
 def test_short_abbreviations_and_typos_are_candidates(spark):
     entries = spark.createDataFrame([(1, "Instruktörsutbildning"), (2, "Graffitiborttagning"), (3, "Utvecklingssamtal"), (4, "Flyttstädning"), (5, "Matrast"), (6, "Golvvård")], "entry_id int, entry string")
     values = {"Instr.": 1, "Graff.": 2, "Utv.": 3, "U.saml.": 0, "I.utb.": 1, "Flyyts...": 4, "amtrats": 5, "oglvvrad": 6, "Bowling": 0}
